@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, fingerprints, mixing, secret_scan, token_counts
+from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, token_counts
 from sluice.llm.common import documents
 
 #: Where public tokenizer files lie; only read, never copied.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op2_phrase_automata(spark, sf_dir):
+    return phrase_automata.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -21,6 +25,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
