@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, token_counts
+from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, suffix_dedup, token_counts
 from sluice.llm.common import documents
 
 #: Where public tokenizer files lie; only read, never copied.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_phrase_automata(spark, sf_dir):
     return phrase_automata.substring_dedup(documents(spark, sf_dir)).drop("kept_text")
 
