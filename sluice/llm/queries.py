@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, suffix_dedup, token_counts
+from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, suffix_dedup, token_counts, toxicity
 from sluice.llm.common import documents
 
 #: Where public tokenizer files lie; only read, never copied.
@@ -25,6 +25,10 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints.edited_likeness(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
