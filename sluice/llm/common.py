@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Largest table, in bytes, that an operator sends to every executor; beyond it the same join is shuffled.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 _SHIPPED: set[str] = set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, secret_scan, suffix_dedup, token_counts, toxicity
+from sluice.llm import exact_dedup, fingerprints, jaccard_join, mixing, phrase_automata, piece_sampling, secret_scan, suffix_dedup, token_counts, toxicity
 from sluice.llm.common import documents
 
 #: Where public tokenizer files lie; only read, never copied.
@@ -33,6 +33,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op7_piece_sampling(spark, sf_dir):
+    return piece_sampling.sample_pieces(documents(spark, sf_dir).select("doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(documents(spark, sf_dir))
 
