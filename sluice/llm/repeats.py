@@ -90,7 +90,7 @@ def bounded(side: DataFrame, array: str, item_bytes: int) -> DataFrame:
 def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarray], Iterator[tuple]], units_of, window: int, gram: int) -> DataFrame:
     """(a, d, start, ch, body): around each repeated anchor all windows that hold it; dealt out by anchor.
 
-    ``start`` is the unit at which the context begins, ``body`` its bytes. A task that meets an equal context again leaves its body
+    ``start`` is the unit at which the context begins, ``body`` its bytes. A task that meets an anchor's equal context again leaves its body
     out (null) and sends the hash ``ch`` only, so that a passage in a third of all documents travels once a task. Contexts of one
     anchor and text that touch are one.
     """
@@ -115,9 +115,10 @@ def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarra
                 last = np.r_[first[1:], len(h)] - 1
                 for a, s, body in zip(h[first].view(np.int64), lo[first], cut(t, np.stack([lo[first], hi[last]], 1)), strict=True):
                     ch = xxhash.xxh3_64_intdigest(body) >> 1
-                    out.append((a, d, s, ch, None if ch in seen_body else body))
-                    if len(seen_body) < 1 << 20:
-                        seen_body.add(ch)
+                    known = (a, ch) in seen_body
+                    out.append((a, d, s, ch, None if known else body))
+                    if not known and len(seen_body) < 1 << 20:
+                        seen_body.add((a, ch))
             yield pd.DataFrame(out, columns=["a", "d", "start", "ch", "body"])
 
     joined = rows.select("d", "t").join(bounded(repeated, "at", 4), "d")
