@@ -82,7 +82,7 @@ def common(vals: list[Val]) -> T.DataType:
     if all(isinstance(t, T.NumericType) for t in types):
         return LONG if all(isinstance(t, _INTS) for t in types) else DOUBLE
     first = types[0]
-    if all(t == first for t in types):
+    if all(t.simpleString() == first.simpleString() for t in types):
         return first
     kinds = {Val(F.lit(1), t).kind for t in types}
     if len(kinds) == 1:
@@ -91,7 +91,7 @@ def common(vals: list[Val]) -> T.DataType:
 
 
 def as_type(v: Val, t: T.DataType) -> Column:
-    return v.col if v.type == t else v.col.cast(t)
+    return v.col if v.type.simpleString() == t.simpleString() else v.col.cast(t)
 
 
 def millis(v: Val) -> Column:
