@@ -75,16 +75,15 @@ def repeated_anchors(rows: DataFrame, units_of: Callable[[str], np.ndarray], win
             yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "d": np.concatenate(d), "p": np.concatenate(p).astype(np.int32)})
 
     found = written(rows.select("d", "t").mapInPandas(run, "a long, d long, p int"), "anchors")
-    dealt = found.repartition("a")
-    places = dealt.groupBy("a").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("p").alias("p0"), F.max("p").alias("p1"))
-    again = places.filter("d0 <> d1 or p0 <> p1").select("a")
-    return written(dealt.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set("p")).alias("at")), "repeated")
+    place = F.xxhash64("d", "p")
+    again = found.groupBy("a").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("a")
+    return written(found.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set("p")).alias("at")), "repeated")
 
 
 def bounded(side: DataFrame, array: str, item_bytes: int) -> DataFrame:
     """A written table with one array column, marked for broadcast only if all its items fit the limit; else it is joined by a shuffle."""
     size = side.agg((F.sum(F.size(array)) * item_bytes + F.count(F.lit(1)) * 64).alias("n")).first()["n"] or 0
-    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+    return F.broadcast(side) if size <= 2 * BROADCAST_BYTES else side
 
 
 def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarray], Iterator[tuple]], units_of, window: int, gram: int) -> DataFrame:
@@ -121,7 +120,7 @@ def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarra
                         seen_body.add((a, ch))
             yield pd.DataFrame(out, columns=["a", "d", "start", "ch", "body"])
 
-    joined = rows.select("d", "t").join(bounded(repeated, "at", 4), "d")
+    joined = rows.select("d", "t").join(repeated.hint("merge"), "d")
     return joined.mapInPandas(run, "a long, d long, start int, ch long, body binary")
 
 

@@ -267,16 +267,27 @@ class Contexts:
     def __init__(self):
         self.body: dict[int, bytes] = {}
         self.places: dict[int, list[tuple[int, int]]] = {}
+        self.anchors: dict[int, set[int]] = {}
 
-    def add(self, ch: int, d: int, start: int, body: bytes | None) -> None:
+    def add(self, a: int, ch: int, d: int, start: int, body: bytes | None) -> None:
         self.places.setdefault(ch, []).append((d, start))
+        self.anchors.setdefault(a, set()).add(ch)
         if body is not None:
             self.body.setdefault(ch, body)
 
     def spans(self, window: int, memory: int = TUPLES_IN_MEMORY) -> Iterator[tuple[int, int, int]]:
         """(d, begin, end) of what repeated strings cover. Contexts at several places are covered whole; in the others a string
-        counts if it begins at two different places."""
-        keys = list(self.body)
+        counts if it begins at two different places. Strings of an anchor are in its contexts only, so an anchor whose contexts are
+        all the same, at several places, needs no sorting."""
+        alike = {next(iter(chs)) for chs in self.anchors.values() if len(chs) == 1}
+        alike -= {ch for chs in self.anchors.values() if len(chs) > 1 for ch in chs}
+        alike = {ch for ch in alike if len(set(self.places[ch])) > 1}
+        for ch in alike:
+            for d, s in self.places[ch]:
+                yield d, s, s + len(self.body[ch])
+        keys = [k for k in self.body if k not in alike]
+        if not keys:
+            return
         sizes = np.array([len(self.body[k]) for k in keys], np.int64)
         several = np.array([len(set(self.places[k])) > 1 for k in keys], bool)
         begin = np.cumsum(np.r_[0, sizes + 1])[:-1]
@@ -351,7 +362,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = Contexts()
         for batch in batches:
-            for row in zip(batch["ch"], batch["d"], batch["start"], batch["body"], strict=True):
+            for row in zip(batch["a"], batch["ch"], batch["d"], batch["start"], batch["body"], strict=True):
                 shard.add(*row)
         spans = list(shard.spans(window))
         for i in range(0, len(spans), 100_000):
