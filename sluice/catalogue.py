@@ -5,7 +5,14 @@ Every entry is (name, text of the pipeline language, DuckDB SQL or None). Where
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
 from sluice.engine import Engine
+from sluice.sources import search
+from sluice.streaming import windows
 
 VECTOR = [1.0 if i == 0 else 0.5 if i == 7 else 0.0 for i in range(64)]
 _V = str(VECTOR)
@@ -225,8 +232,106 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, _, sql in ENTRIES if sql} | EXTRA_SQL
 
 
+def _fresh(spark) -> Engine:
+    """An engine with an empty store of its own, for queries that write."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='store-')}"
+    return Engine(spark, store=f"{base}/store-{uuid.uuid4().hex}")
+
+
+def _copied(spark, sf_dir: str, table: str) -> Engine:
+    """A store with a copy of a table, written by the language itself."""
+    e = _fresh(spark)
+    e.catalog.root = sf_dir
+    e.query(f"on {table} | into copy")
+    return e
+
+
+def write_set(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on copy | where n_nationkey < 10 | set n_nationkey = n_regionkey, n_regionkey = n_nationkey, tag = upper(n_name)")
+    return e.query("on copy | select n_nationkey, n_regionkey, n_name, tag | drop _id")
+
+
+def write_delete(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on copy | sort n_nationkey desc | limit 5 | delete")
+    return e.query("on copy | select n_nationkey, n_name | drop _id")
+
+
+def write_load_merge(spark, sf_dir):
+    e = _fresh(spark)
+    e.query('on stock | insert [{_id: "a", sku: "A", qty: 1, note: "old"}, {_id: "b", sku: "B", qty: 2, note: "old"}]')
+    e.query('on stock | load | with merge | chunk [{_id: "b", qty: 5}] | chunk [{_id: "c", sku: "C", qty: 3}] | end')
+    e.query('on stock | load | with replace | chunk [{_id: "a", sku: "AA", qty: 9}] | end')
+    return e.query("on stock | select _id, sku, qty, note")
+
+
+def write_together(spark, sf_dir):
+    e = _copied(spark, sf_dir, "region")
+    e.execute_together("on copy | where r_regionkey == 0 | delete", "on copy | where r_regionkey > 2 | into high")
+    return e.query("on copy | select r_regionkey | derive side = \"copy\" | union | on high | select r_regionkey | derive side = \"high\" | end | drop _id")
+
+
+def time_travel(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on copy | where n_regionkey == 1 | set n_name = \"gone\"")
+    e.query("on copy | where n_regionkey == 2 | delete")
+    now, then = e.query("on copy | group n_name | count as now"), e.query("on copy as of 1 | count as then")
+    return then.crossJoin(now)
+
+
+def history_rows(spark, sf_dir):
+    e = _copied(spark, sf_dir, "region")
+    e.query("on copy | where r_regionkey < 2 | set r_name = lower(r_name)")
+    e.query("on copy | where r_regionkey == 4 | delete")
+    return e.query("on copy history | group | by _generation, _op, _version | count as n | end")
+
+
+def views(spark, sf_dir):
+    e = Engine(spark, sf_dir)
+    e.query("define view open_orders | description \"orders not finished\" | exec | on orders | where o_orderstatus == \"O\" | end | end")
+    e.query("define view rich | exec | on view open_orders as o | where o.o_totalprice > 300000 | end | end")
+    return e.query("on view rich | lookup view open_orders as w | where w.o_custkey == o_custkey | into w | end | select o_orderkey")
+
+
+def scoped(spark, sf_dir):
+    return Engine(spark, sf_dir, scope={"o_orderstatus": "P"}).query("on orders | group o_orderpriority")
+
+
+def explained(spark, sf_dir):
+    return Engine(spark, sf_dir).query("explain on orders | where o_orderkey == 3 | sort o_custkey | limit 2").select("collection", "read_only", "mode", F.array_join("operators", " ").alias("operators"))
+
+
+def search_words(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = search.index(docs, "doc_id", "text")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("hits").alias("hits")).filter(F.col("word").rlike("^[a-z]+$") & (F.col("docs") > 5))
+
+
+def stream_tumbling(spark, sf_dir):
+    return windows.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "1 hour", ["event_type"]).select(F.unix_millis("start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def stream_sessions(spark, sf_dir):
+    return windows.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "30 minutes", "user_id").select(F.unix_millis("start").alias("start_ms"), "user_id", "n")
+
+
 def _extra() -> dict:
-    return {}
+    named = (write_set, write_delete, write_load_merge, write_together, time_travel, history_rows, views, scoped, explained, search_words, stream_tumbling, stream_sessions)
+    return {f.__name__: f for f in named}
 
 
-EXTRA_SQL: dict[str, str] = {}
+EXTRA_SQL: dict[str, str] = {
+    "write_set": "SELECT CASE WHEN n_nationkey < 10 THEN n_regionkey ELSE n_nationkey END::BIGINT AS n_nationkey, CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE n_regionkey END::BIGINT AS n_regionkey, n_name, CASE WHEN n_nationkey < 10 THEN upper(n_name) END AS tag FROM nation",
+    "write_delete": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey < 20",
+    "write_load_merge": "SELECT * FROM (VALUES ('a', 'AA', 9::BIGINT, NULL), ('b', 'B', 5, 'old'), ('c', 'C', 3, NULL)) t(_id, sku, qty, note)",
+    "write_together": "SELECT r_regionkey, 'copy' AS side FROM region WHERE r_regionkey <> 0 UNION ALL SELECT r_regionkey, 'high' FROM region WHERE r_regionkey > 2",
+    "time_travel": "SELECT (SELECT count(*) FROM nation) AS \"then\", (SELECT count(DISTINCT CASE WHEN n_regionkey = 1 THEN 'gone' ELSE n_name END) FROM nation WHERE n_regionkey <> 2) AS now",
+    "history_rows": "SELECT * FROM (VALUES (1::BIGINT, 'insert', 1::BIGINT, 5::BIGINT), (2, 'replace', 2, 2), (3, 'delete', 2, 1)) t(_generation, _op, _version, n)",
+    "views": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000",
+    "scoped": "SELECT o_orderpriority, count(*) AS \"count\" FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
+    "explained": "SELECT 'orders' AS collection, true AS read_only, 'blocking' AS mode, 'where sort limit' AS operators",
+    "search_words": "SELECT word, count(*) AS docs, sum(hits)::BIGINT AS hits FROM (SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 5 AND regexp_full_match(word, '[a-z]+')",
+    "stream_tumbling": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_sessions": "SELECT epoch_us(min(ts)) // 1000 AS start_ms, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+}

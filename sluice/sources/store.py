@@ -1,6 +1,168 @@
-"""placeholder"""
+"""A versioned store of collections on any file system that Spark reads.
+
+Every write is one commit: data files under ``data/<collection>/<commit id>`` and then one small file ``commits/<generation>.json``,
+created only if no other writer has created it. What is not named by a commit does not exist, so a write is all or nothing and a lost
+executor or driver leaves no half of one. The rows of all commits are the history; a collection's state is the latest row of each
+document, as of any generation.
+"""
+
+from __future__ import annotations
+
+import datetime
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluice.errors import PlanFault, WriteConflict
+
+#: Columns of the change log besides a document's own: fixed names of the language.
+HISTORY = ("_id", "_doc_id", "_version", "_op", "_generation", "_at", "_by", "_by_device")
 
 
 class Store:
-    def __init__(self, spark, path):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, by: str | None = None, device: str | None = None):
+        self.spark, self.path, self.by, self.device = spark, path.rstrip("/"), by, device
+
+    # files
+
+    def _fs(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read_text(self, name: str) -> str | None:
+        p, fs = self._fs(name)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, name: str, text: str, fresh: bool = False) -> bool:
+        """Writes a small file; with ``fresh`` only if it does not exist, and says whether it did."""
+        p, fs = self._fs(name)
+        try:
+            stream = fs.create(p, not fresh)
+        except Exception as e:
+            if fresh and ("FileAlreadyExists" in str(e) or "already exists" in str(e)):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
+
+    # commits
+
+    def commits(self) -> list[dict]:
+        p, fs = self._fs("commits")
+        if not fs.exists(p):
+            return []
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+        return [json.loads(self.read_text(f"commits/{n}")) for n in names]
+
+    def generation(self) -> int:
+        p, fs = self._fs("commits")
+        if not fs.exists(p):
+            return 0
+        return max((int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")), default=0)
+
+    def has(self, name: str) -> bool:
+        return any(name in c["collections"] for c in self.commits())
+
+    def commit(self, changes: dict[str, list[DataFrame]], base: int) -> int:
+        """Writes the changes of each collection and makes them generation base + 1. Frames hold _op, _doc_id, _version and a document."""
+        ident = uuid.uuid4().hex
+        written = {}
+        for name, frames in changes.items():
+            for i, df in enumerate(frames):
+                path = f"data/{name}/{ident}-{i}.parquet"
+                wide = {c: {"int": "long", "smallint": "long", "tinyint": "long", "float": "double"}.get(t) for c, t in df.dtypes}
+                df = df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in wide.items() if t})  # commits must agree on types
+                df.withColumn("_commit", F.lit(ident)).withColumn("_pos", F.monotonically_increasing_id() + F.lit(i << 60)).write.parquet(f"{self.path}/{path}")
+                written.setdefault(name, []).append(path)
+        at = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="milliseconds")
+        record = {"generation": base + 1, "id": ident, "at": at, "by": self.by, "by_device": self.device, "collections": written}
+        if not self.write_text(f"commits/{base + 1:012d}.json", json.dumps(record), fresh=True):
+            raise WriteConflict(f"generation {base + 1} was committed by another writer")
+        return base + 1
+
+    def at(self, moment) -> int:
+        """The generation of a number, or the last one at or before an ISO time."""
+        if isinstance(moment, int):
+            return moment
+        t = datetime.datetime.fromisoformat(str(moment).replace("Z", "+00:00"))
+        t = t if t.tzinfo else t.replace(tzinfo=datetime.timezone.utc)
+        return max((c["generation"] for c in self.commits() if datetime.datetime.fromisoformat(c["at"]) <= t), default=0)
+
+    # rows
+
+    def _log(self, name: str, upto: int | None = None) -> DataFrame | None:
+        commits = [c for c in self.commits() if name in c["collections"] and (upto is None or c["generation"] <= upto)]
+        if not commits:
+            return None
+        paths = [f"{self.path}/{p}" for c in commits for p in c["collections"][name]]
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        known = self.spark.createDataFrame([(c["id"], c["generation"], c["at"], c["by"], c["by_device"]) for c in commits], "_commit string, _generation long, _at string, _by string, _by_device string")
+        return rows.join(F.broadcast(known), "_commit").drop("_commit")
+
+    def history(self, name: str) -> DataFrame:
+        """One row a stored write, in the order of commits."""
+        log = self._log(name)
+        event = F.concat(F.col("_generation").cast("string"), F.lit(":"), F.col("_pos").cast("string"))
+        rows = log.withColumn("_id", event)
+        own = [c for c in rows.columns if c not in (*HISTORY, "_pos")]
+        return rows.orderBy("_generation", "_pos").select(*HISTORY, *own)
+
+    def as_of(self, name: str, moment) -> DataFrame:
+        return self._state(name, self.at(moment))
+
+    def current(self, name: str) -> DataFrame:
+        return self._state(name, None)
+
+    def _state(self, name: str, upto: int | None) -> DataFrame:
+        log = self._log(name, upto)
+        if log is None:
+            return self.spark.createDataFrame([], T.StructType([T.StructField("_id", T.StringType())]))
+        own = [c for c in log.columns if c not in (*HISTORY, "_pos")]
+        last = log.groupBy("_doc_id").agg(F.max_by(F.struct("_op", "_version", *own), F.struct("_generation", "_pos")).alias("r"))
+        kept = last.filter("r._op <> 'delete'")
+        return kept.select(F.col("_doc_id").alias("_id"), *[F.col(f"r.`{c}`").alias(c) for c in own], F.col("r._version").alias("__version"))
+
+    # backup
+
+    def backup(self, target: str, since: int = 0) -> dict:
+        """Copies the commits after a generation, with their data, into a folder with a manifest."""
+        commits = [c for c in self.commits() if c["generation"] > since]
+        for c in commits:
+            for paths in c["collections"].values():
+                for p in paths:
+                    self.spark.read.parquet(f"{self.path}/{p}").write.parquet(f"{target}/{p}")
+        manifest = {"since": since, "generation": self.generation(), "commits": commits}
+        Store(self.spark, target).write_text("manifest.json", json.dumps(manifest))
+        return {"commits": len(commits), "generation": manifest["generation"]}
+
+    def inspect(self, source: str) -> dict:
+        text = Store(self.spark, source).read_text("manifest.json")
+        if text is None:
+            raise PlanFault("no backup there")
+        m = json.loads(text)
+        return {"since": m["since"], "generation": m["generation"], "commits": len(m["commits"]), "collections": sorted({n for c in m["commits"] for n in c["collections"]})}
+
+    def restore(self, source: str) -> int:
+        """Replays a backup onto the generation that it starts from; a chain of backups is restored in order."""
+        m = json.loads(Store(self.spark, source).read_text("manifest.json"))
+        if m["since"] != self.generation():
+            raise PlanFault(f"the backup continues generation {m['since']}, the store is at {self.generation()}")
+        for c in m["commits"]:
+            for paths in c["collections"].values():
+                for p in paths:
+                    self.spark.read.parquet(f"{source}/{p}").write.parquet(f"{self.path}/{p}")
+            self.write_text(f"commits/{c['generation']:012d}.json", json.dumps(c), fresh=True)
+        return self.generation()
