@@ -109,6 +109,7 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     lower = None
     chain = []
     for order in range(ORDER - 1, 0, -1):
+        level = written(level, "level")  # each level is used several times
         chain.append(level)
         level = level.select(F.col("g").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")) if order > 1 else level
     for level in reversed(chain):  # from single bytes up
@@ -122,7 +123,7 @@ def log_ratios(grams: DataFrame) -> DataFrame:
             joined = joined.withColumn("below", F.col("g").bitwiseAND(F.lit(shift))).join(lower[0], "below")
             p = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("types") * F.col("p_below")) / F.col("total")
         size = 1 if lower is None else lower[1] + 1
-        lower = (joined.select(F.col("g").alias("below"), p.alias("p_below")), size)
+        lower = (written(joined.select(F.col("g").alias("below"), p.alias("p_below")), "backoff"), size)
     contexts = rows.groupBy("h").agg(
         F.sum("toxic").alias("ct"),
         F.sum("ordinary").alias("co"),
@@ -150,6 +151,8 @@ class Model:
     keys: np.ndarray
     ratios: np.ndarray
     weights: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(log ratio, bytes) of each word."""
@@ -186,7 +189,7 @@ class Model:
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
-        z = features @ self.weights[:-1] + self.weights[-1]
+        z = np.clip(features, self.low, self.high) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -236,7 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
             yield pd.DataFrame(x, columns=[f"x{i}" for i in range(x.shape[1])]).assign(toxic=batch["toxic"].to_numpy())
 
     got = held.select("t", "toxic").mapInPandas(run, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", toxic int").toPandas()
-    table.weights = fit_weights(got[[f"x{i}" for i in range(FEATURES)]].to_numpy(), got["toxic"].to_numpy(dtype=float))
+    x = got[[f"x{i}" for i in range(FEATURES)]].to_numpy()
+    table.weights = fit_weights(x, got["toxic"].to_numpy(dtype=float))
+    # scores are not carried on beyond what the calibration rows have shown
+    table.low, table.high = (x.min(0), x.max(0)) if len(x) else (np.zeros(FEATURES), np.zeros(FEATURES))
     return table
 
 
