@@ -56,9 +56,29 @@ FROM t WINDOW w AS (PARTITION BY t)
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS w FROM d, unnest(range(1, len(ws) + 1)) AS r(i)),
+r AS (SELECT doc_id, i, word, CASE WHEN w IS NULL THEN 0 ELSE (count(*) OVER (PARTITION BY w) > 1)::INT END AS again FROM b),
+c AS (SELECT doc_id, i, word, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS t FROM d, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+c AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.root) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id GROUP BY 1, 2
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op2_phrase_automata": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": mixing.ORACLE_SQL}
