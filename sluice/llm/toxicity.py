@@ -23,6 +23,9 @@ DISCOUNT = 0.75
 #: Slots of the table that is sent to scorers, whatever the size of the corpus; where two n-grams meet the more frequent one stays.
 SLOTS = 1 << 21
 
+#: Pieces in which the table comes to the driver.
+PARTS = 8
+
 #: Labelled rows from which the two calibration weights are fitted, at most; those with the smallest hashes of their ids.
 CALIBRATION_ROWS = 20_000
 
@@ -136,19 +139,23 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     model = lambda n, c, t: share(n, c) + weight(c, t) * F.col("p_below")
     ratio = F.log(model("toxic", "ct", "tt") / model("ordinary", "co", "to"))
     unseen = contexts.select((-F.col("h") - 1).alias("gram"), (F.col("ct") + F.col("co")).alias("n"), F.log(weight("ct", "tt") / weight("co", "to")).alias("ratio"))
-    return seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.alias("ratio")).union(unseen)
+    seen = seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.alias("ratio"))
+    return seen.union(unseen)
 
 
-def _slot(gram: np.ndarray) -> np.ndarray:
+def _slot(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, mark) of n-grams: the mark tells those of one slot apart."""
     x = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 @dataclass
 class Model:
-    """A table of fixed size (keys, log ratios) and the calibration: weights of the features, then a constant."""
+    """A table of fixed size (marks, log ratios) and the calibration: weights of the features, then a constant."""
 
-    keys: np.ndarray
+    marks: np.ndarray
     ratios: np.ndarray
     weights: np.ndarray | None = None
     low: np.ndarray | None = None
@@ -158,13 +165,11 @@ class Model:
         """(log ratio, bytes) of each word."""
         grams, word = word_grams(words)
         grams = grams.view(np.int64)
-        at = _slot(grams)
-        value = self.ratios[at].copy()
-        missing = self.keys[at] != grams
-        value[missing] = 0
-        context = -(grams[missing] >> 8) - 1
-        at = _slot(context)
-        value[missing] = np.where(self.keys[at] == context, self.ratios[at], 0)
+        at, mark = _slot(grams)
+        value = self.ratios[at].astype(np.float64)
+        missing = self.marks[at] != mark
+        at, mark = _slot(-(grams[missing] >> 8) - 1)
+        value[missing] = np.where(self.marks[at] == mark, self.ratios[at], 0)
         return np.bincount(word, value, len(words)), np.bincount(word, minlength=len(words))
 
     def features(self, texts: list[str], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
@@ -239,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
             yield pd.DataFrame(x, columns=[f"x{i}" for i in range(x.shape[1])]).assign(toxic=batch["toxic"].to_numpy())
 
     got = held.select("t", "toxic").mapInPandas(run, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", toxic int").toPandas()
+    sent.destroy()
     x = got[[f"x{i}" for i in range(FEATURES)]].to_numpy()
     table.weights = fit_weights(x, got["toxic"].to_numpy(dtype=float))
     # scores are not carried on beyond what the calibration rows have shown
@@ -251,15 +257,18 @@ def _table(spark, ratios: DataFrame) -> Model:
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(slot=_slot(batch["gram"].to_numpy()).astype(np.int32))
-
-    dealt = ratios.mapInPandas(slots, "gram long, n long, ratio double, slot int")
-    best = dealt.groupBy("slot").agg(F.max_by(F.struct("gram", "ratio"), F.struct("n", "gram")).alias("r")).select("slot", "r.gram", F.col("r.ratio").cast("float").alias("ratio"))
-    got = best.toPandas()
-    keys, values = np.full(SLOTS, -(1 << 62), np.int64), np.zeros(SLOTS, np.float32)
-    keys[got["slot"]] = got["gram"]
-    values[got["slot"]] = got["ratio"]
-    return Model(keys, values)
+            slot, mark = _slot(batch["gram"].to_numpy())
+            yield pd.DataFrame({"slot": slot.astype(np.int32), "mark": mark, "n": batch["n"], "ratio": batch["ratio"].astype(np.float32)})
+
+    dealt = ratios.mapInPandas(slots, "slot int, mark int, n long, ratio float")
+    best = dealt.groupBy("slot").agg(F.max_by(F.struct("mark", "ratio"), F.struct("n", "mark")).alias("r")).select("slot", "r.mark", "r.ratio")
+    best = written(best, "table")
+    marks, values = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.float16)
+    for k in range(PARTS):
+        got = best.filter(F.pmod("slot", F.lit(PARTS)) == k).toPandas()
+        marks[got["slot"]] = got["mark"]
+        values[got["slot"]] = got["ratio"]
+    return Model(marks, values)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
