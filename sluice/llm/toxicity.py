@@ -39,7 +39,7 @@ SUSPECT, MOST = 3.0, 6.0
 FEATURES = 4 + len(TOP)
 
 #: Words that a task remembers the score of.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 16
 
 #: What stands before a word, so that its first byte has a context too.
 _START = b"\0" * (ORDER - 2) + b" "
@@ -86,7 +86,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     held.append((grams, counts))
             if len(held) > 1:
                 held = [summed(held)]
-                if len(held[0][0]) > SLOTS:
+                if len(held[0][0]) > SLOTS // 8:
                     yield pd.DataFrame({"gram": held[0][0].view(np.int64), "toxic": held[0][1][:, 0], "ordinary": held[0][1][:, 1]})
                     held = []
         if held:
