@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +23,24 @@ ORDER = 7
 #: Absolute discount.
 DISCOUNT = 0.75
 
-#: Slots of the table that is sent to scorers, whatever the size of the corpus; where two n-grams meet the more frequent one stays.
-SLOTS = 1 << 21
+#: Slots of the table that is sent to workers, whatever the size of the corpus. A slot has the log ratio of its most frequent n-gram, and
+#: bits that tell which others may be there; what these are worth is joined.
+SLOTS = 1 << 20
 
 #: Pieces in which the table comes to the driver.
-PARTS = 8
+PARTS = 16
+
+#: N-grams that a task adds up before it hands them on.
+HELD_GRAMS = 1 << 18
+
+#: Words that a task counts before it hands them on.
+HELD_WORDS = 1 << 17
+
+#: Most frequent words, at most, whose scores are sent to all workers; those of all other words are joined.
+FREQUENT = 1 << 16
+
+#: Log ratios are whole numbers of this share, so that sums are the same in any order.
+UNIT = 2.0**-26
 
 #: Labelled rows from which the two calibration weights are fitted, at most; those with the smallest hashes of their ids.
 CALIBRATION_ROWS = 20_000
@@ -38,9 +54,6 @@ SUSPECT, MOST = 3.0, 6.0
 #: Features of a text.
 FEATURES = 4 + len(TOP)
 
-#: Words that a task remembers the score of.
-REMEMBERED = 1 << 16
-
 #: What stands before a word, so that its first byte has a context too.
 _START = b"\0" * (ORDER - 2) + b" "
 
@@ -86,7 +99,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                     held.append((grams, counts))
             if len(held) > 1:
                 held = [summed(held)]
-                if len(held[0][0]) > SLOTS // 8:
+                if len(held[0][0]) > HELD_GRAMS:
                     yield pd.DataFrame({"gram": held[0][0].view(np.int64), "toxic": held[0][1][:, 0], "ordinary": held[0][1][:, 1]})
                     held = []
         if held:
@@ -98,7 +111,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, n, ratio) of seen n-grams and, with a negative gram, of contexts, which stand for what was never seen after them.
+    """(gram, n, r) of all seen n-grams and, with a negative gram, of contexts, which stand for what was never seen after them.
 
     P_c(w | h) = max(c(hw) - D, 0) / c(h) + D t_c(h) / c(h) * P(w | h'), where t_c counts distinct continuations in a class and P, the
     shared backoff, counts distinct contexts: of all n-grams of both classes, in how many different ones does the shorter one occur.
@@ -139,63 +152,190 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     model = lambda n, c, t: share(n, c) + weight(c, t) * F.col("p_below")
     ratio = F.log(model("toxic", "ct", "tt") / model("ordinary", "co", "to"))
     unseen = contexts.select((-F.col("h") - 1).alias("gram"), (F.col("ct") + F.col("co")).alias("n"), F.log(weight("ct", "tt") / weight("co", "to")).alias("ratio"))
-    seen = seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.alias("ratio"))
-    return seen.union(unseen)
+    whole = seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.alias("ratio")).union(unseen)
+    return written(whole.select("gram", "n", F.round(F.col("ratio") / UNIT).cast("long").alias("r")), "ratios")
 
 
-def _slot(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, mark) of n-grams: the mark tells those of one slot apart."""
+def _slot(gram: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, bits) of n-grams: three of the slot's 64 bits."""
     x = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    bits = np.zeros(len(x), np.uint64)
+    for k in (0, 6, 12):
+        bits |= np.uint64(1) << (x >> np.uint64(k) & np.uint64(63))
+    return (x >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64), bits.view(np.int64)
+
+
+@dataclass
+class Table:
+    """By slot: the most frequent n-gram, its log ratio, and the bits of all n-grams of the slot."""
+
+    grams: np.ndarray
+    r: np.ndarray
+    bits: np.ndarray
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log ratio, whether it is here, whether it may be among those that are joined)."""
+        at, bits = _slot(gram, len(self.grams))
+        own = self.bits[at]
+        here = (self.grams[at] == gram) & (own != 0)
+        return np.where(here, self.r[at], 0).astype(np.int64), here, ~here & (own & bits == bits)
+
+
+def _table(ratios: DataFrame) -> Table:
+    """The log ratios dealt into SLOTS slots: at most that many rows reach the driver."""
+
+    size = SLOTS
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slot, bits = _slot(batch["gram"].to_numpy(), size)
+            yield batch.assign(slot=slot.astype(np.int32), bits=bits)
+
+    dealt = ratios.mapInPandas(slots, "gram long, n long, r long, slot int, bits long")
+    best = dealt.groupBy("slot").agg(F.max_by(F.struct("gram", "r"), F.struct("n", "gram")).alias("b"), F.bit_or("bits").alias("bits"))
+    best = written(best.select("slot", "b.gram", F.col("b.r").cast("int").alias("r"), "bits"), "table")
+    table = Table(np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64))
+    for k in range(PARTS):
+        got = best.filter(F.pmod("slot", F.lit(PARTS)) == k).toPandas()
+        table.grams[got["slot"]], table.r[got["slot"]], table.bits[got["slot"]] = got["gram"], got["r"], got["bits"]
+    return table
+
+
+def word_scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(word, n, r) of each distinct word of the one column of texts: in how many rows it is, and the sum of its n-grams' log ratios.
+
+    An n-gram that the labelled rows do not have counts as its context's n-grams never seen, or 0 where they do not have that either.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows():
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(set(tokens(t.as_py())))
+                if len(held) > HELD_WORDS:
+                    yield rows()
+        yield rows()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, word = word_grams(batch.column(0).to_pylist())
+            grams = grams.view(np.int64)
+            r, here, maybe = sent.value.find(grams)
+            gone = np.flatnonzero(~here & ~maybe)
+            context = -(grams[gone] >> 8) - 1
+            r[gone], _, later = sent.value.find(context)
+            grams[gone], maybe[gone] = context, later
+            total = np.zeros(batch.num_rows, np.int64)
+            np.add.at(total, word, r)
+            ends = np.r_[0, np.cumsum(np.bincount(word[maybe], minlength=batch.num_rows))]
+            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams[maybe]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), others], names=["word", "n", "r", "others"])
+
+    sent = texts.sparkSession.sparkContext.broadcast(_table(ratios))
+    words = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = written(words.mapInArrow(look, "word binary, n long, r long, others array<long>"), "words")
+    sent.destroy()
+    ratios = ratios.select("gram", F.col("r").alias("more"))
+    found = written(words.select("word", F.explode("others").alias("gram")).join(ratios, "gram", "left"), "word-grams")
+    rest = found.filter("more is null and gram >= 0").select("word", (-F.shiftright("gram", 8) - 1).alias("gram")).join(ratios, "gram")
+    more = found.filter("more is not null").select("word", "more").union(rest.select("word", "more")).groupBy("word").agg(F.sum("more").alias("more"))
+    return written(words.join(more, "word", "left").select("word", "n", (F.col("r") + F.coalesce("more", F.lit(0))).alias("r")), "word-scores")
+
+
+def _least_frequent(scores: DataFrame) -> int:
+    """The least n so that at most FREQUENT words are in n rows or more; looked for in steps of an eighth of a power of two."""
+    step = F.floor(F.log2("n") * 8)
+    least, total = 1 << 62, 0
+    for row in sorted(scores.groupBy(step.alias("k")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        total += row.words
+        if total > FREQUENT:
+            break
+        least = row.n
+    return least
+
+
+def features(docs: DataFrame, columns: list[str], ratios: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, found): the columns and a number of each row of ``docs``, whose text is the column __t; that number and the row's features.
+
+    Features: the log ratio a byte, the means over the most toxic distinct words, and what the suspect words add up to, also by the root
+    of the text's length. Frequent words are looked up while a text is read, all others are joined; texts do not move.
+    """
+    scores = word_scores(docs.select("__t"), ratios)
+    least = _least_frequent(scores)
+    frequent = scores.filter(F.col("n") >= least).select("word", "r").toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["r"].tolist(), strict=True)))
+    suspect, most, other = round(SUSPECT / UNIT), round(MOST / UNIT), -(1 << 63)
+    number = T.LongType()
+    parts = T.StructType([T.StructField(c, number) for c in ("row", "bytes", "words", "total", "excess")])
+    parts.add("top", T.ArrayType(number)).add("others", T.ArrayType(T.StructType().add("word", T.BinaryType()).add("c", number)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = sent.value.get, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out, tops, words, counts, ends = [], [], [], [], [0]
+            for t in batch.column("__t"):
+                ws = tokens(t.as_py())
+                distinct = Counter(ws)
+                r = np.fromiter(map(known, distinct, repeat(other)), np.int64, len(distinct))
+                c = np.fromiter(distinct.values(), np.int64, len(distinct))
+                seen = r != other
+                if not seen.all():
+                    names = list(distinct)
+                    at = np.flatnonzero(~seen).tolist()
+                    words += [names[i] for i in at]
+                    counts += c[at].tolist()
+                    r, c = r[seen], c[seen]
+                ends.append(len(words))
+                out.append((row, sum(map(len, ws)) + len(ws), len(ws), int((r * c).sum()), int(np.clip(r - suspect, 0, most).sum())))
+                tops.append(np.sort(r)[::-1][: TOP[-1]].tolist())
+                row += 1
+            others = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
+            found = [pa.array(np.array(out, np.int64).reshape(-1, 5)[:, i]) for i in range(5)]
+            found += [pa.array(tops, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.StructArray.from_arrays(found, names=parts.names)], names=[*columns, "__parts"])
+
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("__parts", parts)])
+    rows = written(docs.select(*columns, "__t").mapInArrow(run, schema), "rows")
+    sent.destroy()
+    narrow = rows.select(*(F.col("__parts")[c].alias(c) for c in ("row", "bytes", "words", "total", "excess", "top")))
+    others = rows.select(F.col("__parts.row").alias("row"), F.explode("__parts.others").alias("o")).select("row", "o.word", "o.c")
+    others = others.join(scores.filter(F.col("n") < least).select("word", "r"), "word").groupBy("row").agg(
+        F.sum(F.col("r") * F.col("c")).alias("total2"),
+        F.sum(F.least(F.greatest(F.col("r") - suspect, F.lit(0)), F.lit(most))).alias("excess2"),
+        F.slice(F.sort_array(F.collect_list("r"), False), 1, TOP[-1]).alias("top2"),
+    )
+    both = narrow.join(others, "row", "left")
+    total = F.col("total") + F.coalesce("total2", F.lit(0))
+    excess = (F.col("excess") + F.coalesce("excess2", F.lit(0))) * UNIT
+    top = F.sort_array(F.concat("top", F.coalesce("top2", F.array().cast("array<bigint>"))), False)
+    mean = lambda k: F.aggregate(F.slice(top, 1, k), F.lit(0).cast("long"), lambda x, y: x + y) * UNIT / k
+    values = [total * UNIT / F.col("bytes"), *map(mean, TOP), F.log1p(excess), excess / F.sqrt("words"), F.log("words")]
+    return rows, both.select("row", *(F.when(F.col("words") > 0, v).otherwise(0.0).alias(f"x{i}") for i, v in enumerate(values)))
 
 
 @dataclass
 class Model:
-    """A table of fixed size (marks, log ratios) and the calibration: weights of the features, then a constant."""
-
-    marks: np.ndarray
-    ratios: np.ndarray
-    weights: np.ndarray | None = None
-    low: np.ndarray | None = None
-    high: np.ndarray | None = None
-
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(log ratio, bytes) of each word."""
-        grams, word = word_grams(words)
-        grams = grams.view(np.int64)
-        at, mark = _slot(grams)
-        value = self.ratios[at].astype(np.float64)
-        missing = self.marks[at] != mark
-        at, mark = _slot(-(grams[missing] >> 8) - 1)
-        value[missing] = np.where(self.marks[at] == mark, self.ratios[at], 0)
-        return np.bincount(word, value, len(words)), np.bincount(word, minlength=len(words))
-
-    def features(self, texts: list[str], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
-        """Per text: the log ratio a byte, the means over its most toxic distinct words, and what its suspect words add up to, also by
-        the root of its length."""
-        split = [tokens(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list({w for ws in split for w in ws})
-            for i in range(0, len(new), 1 << 16):
-                part = new[i : i + (1 << 16)]
-                known.update(zip(part, zip(*(x.tolist() for x in self.words(part)), strict=True), strict=True))
-        out = np.zeros((len(texts), FEATURES))
-        for i, ws in enumerate(split):
-            if ws:
-                all_ratios, all_bytes = map(sum, zip(*(known[w] for w in ws), strict=True))
-                v = np.sort(np.array([known[w][0] for w in set(ws)]))[::-1]
-                excess = np.clip(v - SUSPECT, 0, MOST).sum()
-                out[i] = [all_ratios / all_bytes, *(v[:k].sum() / k for k in TOP), np.log1p(excess), excess / np.sqrt(len(ws)), np.log(len(ws))]
-        return out
-
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = np.clip(features, self.low, self.high) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    """The log ratios of all n-grams, a written table, and the calibration: weights of the features, then a constant, and their bounds."""
+
+    ratios: DataFrame
+    weights: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def score(self):
+        """The score as a column over the features."""
+        z = F.lit(float(self.weights[-1]))
+        for i in range(FEATURES):
+            z = z + F.least(F.greatest(F.col(f"x{i}"), F.lit(float(self.low[i]))), F.lit(float(self.high[i]))) * float(self.weights[i])
+        return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -223,72 +363,34 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
 
     One in five of them, by a hash of the id, is kept out of the counts, and a bounded number of these calibrates the score. Rows
     without a label, with a null label or with labels that contradict each other teach nothing. Without any toxic rows all scores
-    are low. Counts come from all usable rows; the table sent to scorers has a fixed size.
+    are low.
     """
-    spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     marked = marked.filter(usable).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     marked = written(marked.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5))), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).filter(usable)
     learn = texts.join(small_or_shuffled(marked.filter("fold <> 0").select("doc_id", "toxic"), 48), "doc_id").select("t", "toxic")
     ratios = log_ratios(gram_counts(learn))
-    table = _table(spark, ratios)
     sample = marked.filter("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(CALIBRATION_ROWS).select("doc_id", "toxic")
     held = texts.join(F.broadcast(sample), "doc_id")
-    sent = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for batch in batches:
-            x = sent.value.features(list(batch["t"]), known)
-            yield pd.DataFrame(x, columns=[f"x{i}" for i in range(x.shape[1])]).assign(toxic=batch["toxic"].to_numpy())
-
-    got = held.select("t", "toxic").mapInPandas(run, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", toxic int").toPandas()
-    sent.destroy()
+    rows, found = features(written(held.select(F.col("t").alias("__t"), "toxic"), "calibration"), ["toxic"], ratios)
+    got = found.join(rows.select(F.col("__parts.row").alias("row"), "toxic"), "row").orderBy("row").toPandas()
     x = got[[f"x{i}" for i in range(FEATURES)]].to_numpy()
-    table.weights = fit_weights(x, got["toxic"].to_numpy(dtype=float))
     # scores are not carried on beyond what the calibration rows have shown
-    table.low, table.high = (x.min(0), x.max(0)) if len(x) else (np.zeros(FEATURES), np.zeros(FEATURES))
-    return table
-
-
-def _table(spark, ratios: DataFrame) -> Model:
-    """The log ratios dealt into SLOTS slots, the most frequent n-gram of each: at most that many rows reach the driver."""
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            slot, mark = _slot(batch["gram"].to_numpy())
-            yield pd.DataFrame({"slot": slot.astype(np.int32), "mark": mark, "n": batch["n"], "ratio": batch["ratio"].astype(np.float32)})
+    low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(FEATURES), np.zeros(FEATURES))
+    return Model(ratios, fit_weights(x, got["toxic"].to_numpy(dtype=float)), low, high)
 
-    dealt = ratios.mapInPandas(slots, "slot int, mark int, n long, ratio float")
-    best = dealt.groupBy("slot").agg(F.max_by(F.struct("mark", "ratio"), F.struct("n", "mark")).alias("r")).select("slot", "r.mark", "r.ratio")
-    best = written(best, "table")
-    marks, values = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.float16)
-    for k in range(PARTS):
-        got = best.filter(F.pmod("slot", F.lit(PARTS)) == k).toPandas()
-        marks[got["slot"]] = got["mark"]
-        values[got["slot"]] = got["ratio"]
-    return Model(marks, values)
 
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs``, or those named, but score and predicted, then these: score in 0 to 1 and predicted = 1 from the threshold on.
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` but score and predicted, then these: score in 0 to 1 and predicted = 1 from the threshold on.
-
-    Whole texts are scored. Null, empty and blank texts score as a text without any evidence. One pass without a shuffle.
+    Whole texts are scored. Null, empty and blank texts score as a text without any evidence.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for batch in batches:
-            texts = batch.column("__t").to_pylist()
-            s = sent.value.scores(sent.value.features(texts, known))
-            kept = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
-
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*columns, F.col(text_col).cast("string").alias("__t")).mapInArrow(run, schema)
+    columns = [c for c in columns or docs.columns if c not in ("score", "predicted")]
+    rows, found = features(docs.select(*columns, F.col(text_col).cast("string").alias("__t")), columns, model.ratios)
+    found = written(found.select(F.col("row").alias("__row"), model.score().alias("score")), "scores")
+    rows = rows.select(*columns, F.col("__parts.row").alias("__row")).join(small_or_shuffled(found, 40), "__row")
+    return rows.select(*columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 #: Rows of the third fold are never learnt from.
@@ -303,5 +405,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """
     model = train(docs, labels, F.expr(f"not ({HELD_OUT})"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score(rows.withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False))), model, threshold)
+    rows = rows.withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
+    scored = score(rows, model, threshold, columns=["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "score", "predicted")

@@ -113,6 +113,72 @@ def test_toxicity_held_out(spark):
     assert caught > 0.9 and wrong <= 0.01 * len(held)
 
 
+def brute_log_ratios(rows):
+    """(ratio of a word's n-gram) by the Kneser-Ney formula over (t, toxic), without any table of bounded size."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams = lambda w: [(toxicity._START + w + b" ")[i : i + order] for i in range(len(w) + 1)]
+    counts = Counter((g, label) for t, label in rows for w in toxicity.tokens(t) for g in grams(w))
+    level = {order: {g for g, _ in counts}}
+    before = {}
+    for k in range(order - 1, 0, -1):
+        before[k] = Counter(g[1:] for g in level[k + 1])
+        level[k] = set(before[k])
+    after = {k: Counter() for k in before}
+    types = {k: Counter() for k in before}
+    for k in before:
+        for g, n in before[k].items():
+            after[k][g[:-1]] += n
+            types[k][g[:-1]] += 1
+
+    def backoff(g):
+        below = backoff(g[1:]) if len(g) > 1 else 1 / 256
+        return (max(before[len(g)][g] - d, 0) + d * types[len(g)][g[:-1]] * below) / after[len(g)][g[:-1]]
+
+    total, kinds = Counter(), Counter()
+    for (g, label), n in counts.items():
+        total[g[:-1], label] += n
+        kinds[g[:-1], label] += 1
+    weight = lambda h, c: d * kinds[h, c] / total[h, c] if total[h, c] else 1.0
+    share = lambda g, c: max(counts[g, c] - d, 0) / total[g[:-1], c] if total[g[:-1], c] else 0.0
+    known, contexts = level[order], {g[:-1] for g in level[order]}
+
+    def ratio(g):
+        h = g[:-1]
+        if g in known:
+            p = backoff(g[1:])
+            return math.log((share(g, 1) + weight(h, 1) * p) / (share(g, 0) + weight(h, 0) * p))
+        return math.log(weight(h, 1) / weight(h, 0)) if h in contexts else 0.0
+
+    return lambda w: sum(map(ratio, grams(w)))
+
+
+def brute_score(text, word, model):
+    ws = toxicity.tokens(text)
+    x = [0.0] * toxicity.FEATURES
+    if ws:
+        v = sorted((word(w) for w in set(ws)), reverse=True)
+        excess = sum(min(max(r - toxicity.SUSPECT, 0), toxicity.MOST) for r in v)
+        x = [sum(map(word, ws)) / sum(len(w) + 1 for w in ws), *(sum(v[:k]) / k for k in toxicity.TOP), math.log1p(excess), excess / math.sqrt(len(ws)), math.log(len(ws))]
+    z = sum(min(max(a, lo), hi) * w for a, lo, hi, w in zip(x, model.low, model.high, model.weights)) + model.weights[-1]
+    return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+
+def test_toxicity_keeps_every_n_gram(spark, monkeypatch):
+    """Scores against a model of unbounded size: few words and n-grams fit what is sent, all others are joined."""
+    rng = random.Random(11)
+    texts, labels = corpus(400, rng)
+    texts = [t + " " + " ".join("".join(rng.choices("abcdefghij\u00e9", k=rng.randint(3, 9))) for _ in range(12)) for t in texts] + [None, "", "unseen wo\u00e9rds \U0001f642"]
+    monkeypatch.setattr(toxicity, "FREQUENT", 40, raising=False)
+    monkeypatch.setattr(toxicity, "SLOTS", 1 << 10)
+    counted, count = [], toxicity.gram_counts
+    monkeypatch.setattr(toxicity, "gram_counts", lambda rows: counted.extend((r.t, r.toxic) for r in rows.collect()) or count(rows))
+    docs = frame(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "true")
+    word = brute_log_ratios(counted)
+    for r in toxicity.score(docs, model).collect():
+        assert math.isclose(r.score, brute_score(texts[r.doc_id], word, model), abs_tol=1e-6)
+
+
 def test_toxicity_without_toxic_rows(spark):
     docs = frame(spark, ["a b c", "d e f"])
     none = spark.createDataFrame([], "doc_id long, toxic int")
