@@ -361,23 +361,26 @@ def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     """A model from the labelled rows for which ``usable`` (a condition on doc_id) holds.
 
-    One in five of them, by a hash of the id, is kept out of the counts, and a bounded number of these calibrates the score. Rows
-    without a label, with a null label or with labels that contradict each other teach nothing. Without any toxic rows all scores
-    are low.
+    A bounded number of them, by hashes of the ids, and one in five at most, calibrates the score over the counts of all others; then
+    their own counts are added, so that the model's come from all usable rows. Rows without a label, with a null label or with labels
+    that contradict each other teach nothing. Without any toxic rows all scores are low.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     marked = marked.filter(usable).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     marked = written(marked.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5))), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).filter(usable)
-    learn = texts.join(small_or_shuffled(marked.filter("fold <> 0").select("doc_id", "toxic"), 48), "doc_id").select("t", "toxic")
-    ratios = log_ratios(gram_counts(learn))
     sample = marked.filter("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(CALIBRATION_ROWS).select("doc_id", "toxic")
-    held = texts.join(F.broadcast(sample), "doc_id")
-    rows, found = features(written(held.select(F.col("t").alias("__t"), "toxic"), "calibration"), ["toxic"], ratios)
+    sample = F.broadcast(written(sample, "sample"))
+    learn = texts.join(small_or_shuffled(written(marked.join(sample, "doc_id", "left_anti").select("doc_id", "toxic"), "learnt"), 48), "doc_id")
+    held = written(texts.join(sample, "doc_id").select(F.col("t").alias("__t"), "toxic"), "calibration")
+    counts, rest = gram_counts(learn.select("t", "toxic")), gram_counts(held.select(F.col("__t").alias("t"), "toxic"))
+    rows, found = features(held, ["toxic"], log_ratios(counts))
     got = found.join(rows.select(F.col("__parts.row").alias("row"), "toxic"), "row").orderBy("row").toPandas()
     x = got[[f"x{i}" for i in range(FEATURES)]].to_numpy()
     # scores are not carried on beyond what the calibration rows have shown
     low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(FEATURES), np.zeros(FEATURES))
+    whole = counts.union(rest).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    ratios = log_ratios(written(whole, "all-grams"))
     return Model(ratios, fit_weights(x, got["toxic"].to_numpy(dtype=float)), low, high)
 
 

@@ -179,6 +179,13 @@ def test_toxicity_keeps_every_n_gram(spark, monkeypatch):
         assert math.isclose(r.score, brute_score(texts[r.doc_id], word, model), abs_tol=1e-6)
 
 
+def test_toxicity_counts_all_usable_rows(spark):
+    texts, labels = corpus(60, random.Random(12))
+    model = toxicity.train(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), "true")
+    counted = model.ratios.filter("gram >= 0").groupBy().sum("n").first()[0]
+    assert counted == sum(len(w) + 1 for t in texts for w in toxicity.tokens(t))
+
+
 def test_toxicity_without_toxic_rows(spark):
     docs = frame(spark, ["a b c", "d e f"])
     none = spark.createDataFrame([], "doc_id long, toxic int")
