@@ -65,6 +65,28 @@ def small_or_shuffled(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BY
     return F.broadcast(side) if side.count() * row_bytes <= limit else side
 
 
+def exact_id(id_col: str) -> list:
+    """doc_id (0 without one) and no_id: pandas makes floats of a column with a null, which hold no id above 2^53."""
+    ident = F.col(id_col).cast("long")
+    return [F.coalesce(ident, F.lit(0)).alias("doc_id"), ident.isNull().alias("no_id")]
+
+
+def with_nulls(df: DataFrame) -> DataFrame:
+    """Makes the ids of ``exact_id`` null again."""
+    return df.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), *(c for c in df.columns if c not in ("doc_id", "no_id")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, changed where the frame has them already; names are compared without case, as Parquet and SQL do."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only. Texts without other letters take the fast built-in, which does the same to them."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import repeats
+from sluice.llm.common import with_nulls
 
 #: Words of a window, and of the anchor that finds it.
 WINDOW, GRAM = 35, 8
@@ -136,7 +137,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, t, runs in zip(batch["doc_id"].astype("Int64"), batch["t"], batch["runs"], strict=True):
+            for i, null, t, runs in zip(batch["doc_id"], batch["no_id"], batch["t"], batch["runs"], strict=True):
                 words = words_of(t)
                 n = len(words)
                 kept = words
@@ -146,8 +147,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                         keep[b:e] = False
                     kept = [w for w, k in zip(words, keep, strict=True) if k]
                 body = b" ".join(kept)
-                out.append((i, n, n - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]).astype({"doc_id": "Int64"})
+                out.append((i, null, n, n - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "surrogatepass")))
+            yield pd.DataFrame(out, columns=["doc_id", "no_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "t", "runs")
-    return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "no_id", "t", "runs")
+    return with_nulls(joined.mapInPandas(run, "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string, kept_text string"))

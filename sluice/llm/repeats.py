@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BROADCAST_BYTES, written
+from sluice.llm.common import BROADCAST_BYTES, exact_id, written
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 28) - 1)
@@ -53,9 +53,9 @@ def anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, t, d: d is the hash of the text, by which copies are one text and rows need no id."""
+    """doc_id, no_id, t, d: d is the hash of the text, by which copies are one text and rows need no id."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t")).withColumn("d", F.xxhash64("t", F.octet_length("t")))
+    return docs.select(*exact_id(id_col), t.alias("t")).withColumn("d", F.xxhash64("t", F.octet_length("t")))
 
 
 def repeated_anchors(rows: DataFrame, units_of: Callable[[str], np.ndarray], window: int, gram: int) -> DataFrame:

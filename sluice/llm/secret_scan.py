@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import exact_id, with_nulls
+
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -206,13 +208,14 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
                 say = lambda xs: ",".join(f"{rules[k].kind}:{s}:{e}" for s, k, e in xs)
                 rows.append([*(sum(x[1] == k for x in own) for k in range(len(base))), hashlib.sha256(say(own).encode()).hexdigest(), say(spans)])
             out = pd.DataFrame(rows, columns=[*(f"n_{r.kind}" for r in base), "base_sha256", "spans"])
-            out.insert(0, "doc_id", pd.Series(ids, dtype="Int64"))
+            out.insert(0, "doc_id", [i for i, _ in ids])
+            out.insert(1, "no_id", [null for _, null in ids])
             return out
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch["doc_id"].astype("Int64"), batch["t"], strict=True):
-                ids.append(i)
+            for i, null, t in zip(batch["doc_id"], batch["no_id"], batch["t"], strict=True):
+                ids.append((i, null))
                 texts.append(t or "")
                 size += len(texts[-1])
                 if len(texts) >= SEGMENT_DOCS or size >= SEGMENT_BYTES:
@@ -221,6 +224,6 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
         if texts:
             yield result(ids, texts)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(*exact_id(id_col), F.col(text_col).cast("string").alias("t"))
     counts = "".join(f", n_{r.kind} long" for r in base)
-    return rows.mapInPandas(run, f"doc_id long{counts}, base_sha256 string, spans string")
+    return with_nulls(rows.mapInPandas(run, f"doc_id long, no_id boolean{counts}, base_sha256 string, spans string"))

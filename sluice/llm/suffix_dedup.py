@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import repeats
+from sluice.llm.common import with_nulls
 
 #: Bytes of a repeated string, and of the anchor that finds it.
 WINDOW, GRAM = 200, 32
@@ -387,15 +388,15 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, t, runs in zip(batch["doc_id"].astype("Int64"), batch["t"], batch["runs"], strict=True):
+            for i, null, t, runs in zip(batch["doc_id"], batch["no_id"], batch["t"], batch["runs"], strict=True):
                 raw = bytes_of(t)
                 n, gone, kept = len(raw), np.empty((0, 2), np.int64), raw
                 if runs is not None and n >= window:
                     gone = repeats.merged(runs, n)
                     edges = np.r_[0, gone.ravel(), n].reshape(-1, 2)
                     kept = b"".join([raw[b:e] for b, e in edges])
-                out.append((i, n, n - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                out.append((i, null, n, n - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+            yield pd.DataFrame(out, columns=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "t", "runs")
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "no_id", "t", "runs")
+    return with_nulls(joined.mapInPandas(run, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import exact_id, with_nulls
+
 #: Words whose counts one task remembers; the memory is emptied when it is full.
 REMEMBERED = 1 << 20
 
@@ -145,7 +147,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                     total += n
                 n_words.append(len(words) - empty)
                 n_tokens.append(total)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n_words, "n_tokens": n_tokens})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "n_words": n_words, "n_tokens": n_tokens})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    rows = docs.select(*exact_id(id_col), F.col(text_col).cast("string").alias("t"))
+    return with_nulls(rows.mapInPandas(run, "doc_id long, no_id boolean, n_words long, n_tokens long"))

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from sluice.llm import jaccard_join, piece_sampling, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,8 +64,11 @@ def test_jaccard_components(spark):
     assert got == brute_components(texts, ids)
 
 
-def test_jaccard_long_runs(spark, monkeypatch):
-    """A family larger than a long run, whose members link to some others only."""
+@pytest.mark.parametrize("block, run", [(1 << 19, 1 << 18), (700, 1 << 18), (700, 16)])
+def test_jaccard_families(spark, monkeypatch, block, run):
+    """Families whose members link to some others only, each in a component of many or of one; groups cut into blocks, tokens into parts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(jaccard_join, "RUN_SETS", run)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -71,20 +76,42 @@ def test_jaccard_long_runs(spark, monkeypatch):
         copy = list(base)
         for k in rng.sample(range(120), rng.randint(0, 5)):
             copy[k] = f"e{rng.randint(0, 10**6)}"
-        texts.append(" ".join(copy))
+        texts.append(" ".join(copy[rng.randint(0, 9) :]))
     texts += [" ".join([f"x{i}_{j}" for j in range(60)] + base[:40]) for i in range(60)]
     ids = list(range(100, 100 + len(texts)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts, ids)).collect()}
     assert got == brute_components(texts, ids)
+    assert len({c for _, c in got.values()}) > 60
+
+
+def test_jaccard_long_text(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    texts = [" ".join(words), " ".join(words[3000:]), " ".join(words[20_000:]), "w1 w2"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, range(4))
+
+
+BIG = (1 << 53) + 1
 
 
 def test_jaccard_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    rows = jaccard_join.jaccard_components(frame(spark, [text, text + " z", "other words", text], [None, 9, 9, 12])).collect()
-    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter([(None, 9), (9, 9), (9, 9), (12, 9)])
+    rows = jaccard_join.jaccard_components(frame(spark, [text, text + " z", "other words", text], [None, BIG, BIG, BIG + 2]).coalesce(1)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter([(None, BIG), (BIG, BIG), (BIG, BIG), (BIG + 2, BIG)])
     assert jaccard_join.jaccard_components(frame(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_jaccard_survivors(spark):
+    """One row of each component stays; another text under a near copy's id does too, and columns may be called anything."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (9, text + " z"), (9, "another text"), (None, text + " y"), (None, "quite alone"), (5, text), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "a", "b", 3) for i, t in rows], "doc_id long, text string, TH string, No_Id string, d int").coalesce(1)
+    kept = jaccard_join.survivors(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, text), (9, "another text"), (None, "quite alone"), (7, None), (7, None), (None, "")])
+    assert jaccard_join.survivors(docs.filter("false")).count() == 0
+
+
 INSULTS = ["moron", "idiot", "pathetic"]
 
 
