@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import exact_dedup, jaccard_join, mixing, piece_sampling, toxicity
-from sluice.llm.common import shared_folder, ship, small_or_shuffled, written
+from sluice.llm.common import shared_folder, ship
 from sluice.llm.queries import TOKENIZERS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,11 +32,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents: the one with the smallest id. Documents without words have no component of others."""
+    """One document of each component of similar documents: the one with the smallest id.
+
+    Rows are told apart by id and text; null ids come last. Documents without words have no component and stay.
+    """
     ship(spark)
-    found = jaccard_join.jaccard_components(docs)
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_or_shuffled(gone, 48), "doc_id", "left_anti").select(*COLUMNS)
+    return jaccard_join.survivors(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
