@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import small_or_shuffled, written
+from sluice.llm.common import fresh, small_or_shuffled, written
 
 #: Longest expression in bytes; words are scored with a space on both sides, A-Z folded.
 ORDER = 7
@@ -23,36 +21,26 @@ ORDER = 7
 #: Absolute discount.
 DISCOUNT = 0.75
 
-#: Slots of the table that is sent to workers, whatever the size of the corpus. A slot has the log ratio of its most frequent n-gram, and
-#: bits that tell which others may be there; what these are worth is joined.
-SLOTS = 1 << 20
-
-#: Pieces in which the table comes to the driver.
-PARTS = 16
-
 #: N-grams that a task adds up before it hands them on.
 HELD_GRAMS = 1 << 18
 
-#: Words that a task counts before it hands them on.
-HELD_WORDS = 1 << 17
+#: Words whose ratios a task remembers, and bytes of text that it scores at once.
+HELD_WORDS, AT_ONCE = 1 << 17, 1 << 20
 
-#: Most frequent words, at most, whose scores are sent to all workers; those of all other words are joined.
-FREQUENT = 1 << 16
+#: N-grams and contexts of a model that is sent to all workers (12 bytes each); a larger model stays a table that words are joined with.
+MOST_SENT = 6_000_000
 
 #: Log ratios are whole numbers of this share, so that sums are the same in any order.
-UNIT = 2.0**-26
+UNIT = 2.0**-24
 
-#: Labelled rows from which the two calibration weights are fitted, at most; those with the smallest hashes of their ids.
+#: Labelled rows from which the calibration weights are fitted, at most; those with the smallest hashes of their ids.
 CALIBRATION_ROWS = 20_000
 
-#: Numbers of most toxic words whose mean log ratios are looked at besides the whole text's.
-TOP = (1, 3, 6)
-
-#: Log ratio from which a word counts as suspect, and the most that one word adds.
-SUSPECT, MOST = 3.0, 6.0
+#: Words of the windows whose length-normalised ratios are looked at besides the whole text's.
+WINDOWS = (1, 2, 4, 8)
 
 #: Features of a text.
-FEATURES = 4 + len(TOP)
+FEATURES = 2 + len(WINDOWS)
 
 #: What stands before a word, so that its first byte has a context too.
 _START = b"\0" * (ORDER - 2) + b" "
@@ -156,185 +144,162 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     return written(whole.select("gram", "n", F.round(F.col("ratio") / UNIT).cast("long").alias("r")), "ratios")
 
 
-def _slot(gram: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, bits) of n-grams: three of the slot's 64 bits."""
+def _bucket(gram: np.ndarray, bits: int) -> np.ndarray:
     x = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    bits = np.zeros(len(x), np.uint64)
-    for k in (0, 6, 12):
-        bits |= np.uint64(1) << (x >> np.uint64(k) & np.uint64(63))
-    return (x >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64), bits.view(np.int64)
+    return (x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-@dataclass
 class Table:
-    """By slot: the most frequent n-gram, its log ratio, and the bits of all n-grams of the slot."""
-
-    grams: np.ndarray
-    r: np.ndarray
-    bits: np.ndarray
-
-    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log ratio, whether it is here, whether it may be among those that are joined)."""
-        at, bits = _slot(gram, len(self.grams))
-        own = self.bits[at]
-        here = (self.grams[at] == gram) & (own != 0)
-        return np.where(here, self.r[at], 0).astype(np.int64), here, ~here & (own & bits == bits)
-
-
-def _table(ratios: DataFrame) -> Table:
-    """The log ratios dealt into SLOTS slots: at most that many rows reach the driver."""
-
-    size = SLOTS
+    """All n-grams and contexts of a model with their log ratios, as a hash table in three arrays."""
+
+    def __init__(self, gram: np.ndarray, r: np.ndarray):
+        self.bits = max(4, len(gram).bit_length())
+        bucket = _bucket(gram, self.bits)
+        order = np.argsort(bucket, kind="stable")
+        self.gram, self.r = gram[order], r[order].astype(np.int32)
+        self.start = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log ratio or 0, whether it is there)."""
+        bucket = _bucket(gram, self.bits)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        r, here = np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.gram[at[live]] == gram[live]
+            r[live[hit]], here[live[hit]] = self.r[at[live[hit]]], True
+            at[live] += 1
+            live = live[~hit & (at[live] < end[live])]
+        return r, here
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The log ratio of each word: the sum over its n-grams. One that was never seen counts as its context's unseen ones, if that was."""
+        gram, word = word_grams(words)
+        gram = gram.view(np.int64)
+        r, here = self.find(gram)
+        r[~here] = self.find(-(gram[~here] >> 8) - 1)[0]
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, word, r)
+        return total
+
+
+def word_ratios(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(word, r) of each distinct word of the one column of texts, by joins: what ``Table.words`` gives, for a model of any size."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set = set()
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(tokens(t.as_py()))
+                if len(held) > HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["word"])
+                    held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["word"])
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot, bits = _slot(batch["gram"].to_numpy(), size)
-            yield batch.assign(slot=slot.astype(np.int32), bits=bits)
+            gram, word = word_grams(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(word)), pa.array(gram.view(np.int64))], names=["word", "gram"])
 
-    dealt = ratios.mapInPandas(slots, "gram long, n long, r long, slot int, bits long")
-    best = dealt.groupBy("slot").agg(F.max_by(F.struct("gram", "r"), F.struct("n", "gram")).alias("b"), F.bit_or("bits").alias("bits"))
-    best = written(best.select("slot", "b.gram", F.col("b.r").cast("int").alias("r"), "bits"), "table")
-    table = Table(np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64))
-    for k in range(PARTS):
-        got = best.filter(F.pmod("slot", F.lit(PARTS)) == k).toPandas()
-        table.grams[got["slot"]], table.r[got["slot"]], table.bits[got["slot"]] = got["gram"], got["r"], got["bits"]
-    return table
+    words = texts.mapInArrow(distinct, "word binary").distinct()
+    ratios = ratios.select("gram", "r")
+    found = written(words.mapInArrow(spelled, "word binary, gram long").join(ratios, "gram", "left"), "word-grams")
+    unseen = found.filter("r is null").select("word", (-F.shiftright("gram", 8) - 1).alias("gram")).join(ratios, "gram", "left")
+    both = found.filter("r is not null").select("word", "r").union(unseen.select("word", F.coalesce("r", F.lit(0))))
+    return written(both.groupBy("word").agg(F.sum("r").alias("r")), "word-ratios")
 
 
-def word_scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(word, n, r) of each distinct word of the one column of texts: in how many rows it is, and the sum of its n-grams' log ratios.
+def features(r: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Length-normalised log ratios (toxic over ordinary, a byte) of a text and of its most toxic window of each width; log of its words.
 
-    An n-gram that the labelled rows do not have counts as its context's n-grams never seen, or 0 where they do not have that either.
+    ``r`` and ``sizes``: the log ratio and the bytes of each word, the space behind it included.
     """
+    out = np.zeros(FEATURES)
+    if len(r):
+        value, size = np.r_[0, np.cumsum(r)], np.r_[0, np.cumsum(sizes)]
+        out[0], out[-1] = value[-1] * UNIT / size[-1], math.log(len(r))
+        for i, w in enumerate(WINDOWS, 1):
+            w = min(w, len(r))
+            out[i] = ((value[w:] - value[:-w]) / (size[w:] - size[:-w])).max() * UNIT
+    return out
+
+
+def described(docs: DataFrame, columns: list[str], ratios: DataFrame, text: str, feature: str) -> DataFrame:
+    """The columns and an array of features for each row of ``docs`` (text in the column ``text``); texts stay where they are read
+    if the model is small enough to be sent, else each row meets the ratios of its own words."""
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(feature, T.ArrayType(T.DoubleType()))])
+    small = ratios.limit(MOST_SENT + 1).count() <= MOST_SENT
+    if small:
+        got = ratios.select("gram", F.col("r").cast("int").alias("r")).toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(Table(got["gram"].to_numpy(), got["r"].to_numpy()))
+
+    def values(texts, look):
+        """``look(words)``: the ratios of words in a list."""
+        out, known = [], {}
+        for begin, end in pieces_of(texts):
+            ws = [tokens(t) for t in texts[begin:end]]
+            new = [w for w in set().union(*ws) if w not in known]
+            known.update(zip(new, look(new).tolist(), strict=True))
+            for w in ws:
+                r = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+                out.append(features(r, np.fromiter(map(len, w), np.int64, len(w)) + 1))
+            if len(known) > HELD_WORDS:
+                known.clear()
+        return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                held.update(set(tokens(t.as_py())))
-                if len(held) > HELD_WORDS:
-                    yield rows()
-        yield rows()
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts = batch.column(text).to_pylist()
+            if small:
+                found = values(texts, sent.value.words)
+            else:
+                found = []
+                for t, own in zip(texts, batch.column(words).to_pylist(), strict=True):
+                    own = {x["word"]: x["r"] for x in own or ()}
+                    found += values([t], lambda new, own=own: np.array([own[w] for w in new], np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.list_(pa.float64()))], names=[*columns, feature])
+
+    if small:
+        return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
+    row, words = fresh(docs, "row", "words")
+    docs = written(docs.select(*dict.fromkeys([*columns, text])).withColumn(row, F.monotonically_increasing_id()), "rows")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, word = word_grams(batch.column(0).to_pylist())
-            grams = grams.view(np.int64)
-            r, here, maybe = sent.value.find(grams)
-            gone = np.flatnonzero(~here & ~maybe)
-            context = -(grams[gone] >> 8) - 1
-            r[gone], _, later = sent.value.find(context)
-            grams[gone], maybe[gone] = context, later
-            total = np.zeros(batch.num_rows, np.int64)
-            np.add.at(total, word, r)
-            ends = np.r_[0, np.cumsum(np.bincount(word[maybe], minlength=batch.num_rows))]
-            others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams[maybe]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), others], names=["word", "n", "r", "others"])
-
-    sent = texts.sparkSession.sparkContext.broadcast(_table(ratios))
-    words = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = written(words.mapInArrow(look, "word binary, n long, r long, others array<long>"), "words")
-    sent.destroy()
-    ratios = ratios.select("gram", F.col("r").alias("more"))
-    found = written(words.select("word", F.explode("others").alias("gram")).join(ratios, "gram", "left"), "word-grams")
-    rest = found.filter("more is null and gram >= 0").select("word", (-F.shiftright("gram", 8) - 1).alias("gram")).join(ratios, "gram")
-    more = found.filter("more is not null").select("word", "more").union(rest.select("word", "more")).groupBy("word").agg(F.sum("more").alias("more"))
-    return written(words.join(more, "word", "left").select("word", "n", (F.col("r") + F.coalesce("more", F.lit(0))).alias("r")), "word-scores")
-
-
-def _least_frequent(scores: DataFrame) -> int:
-    """The least n so that at most FREQUENT words are in n rows or more; looked for in steps of an eighth of a power of two."""
-    step = F.floor(F.log2("n") * 8)
-    least, total = 1 << 62, 0
-    for row in sorted(scores.groupBy(step.alias("k")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("words")).collect(), reverse=True):
-        total += row.words
-        if total > FREQUENT:
-            break
-        least = row.n
-    return least
-
+            ws = [list(set(tokens(t))) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(batch.column(0).to_numpy(), list(map(len, ws)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([w for x in ws for w in x], pa.binary())], names=["row", "word"])
 
-def features(docs: DataFrame, columns: list[str], ratios: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): the columns and a number of each row of ``docs``, whose text is the column __t; that number and the row's features.
+    pairs = docs.select(row, text).mapInArrow(own, "row long, word binary").join(word_ratios(docs.select(text), ratios), "word")
+    pairs = pairs.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("word", "r")).alias(words))
+    return docs.join(pairs, row, "left").drop(row).mapInArrow(run, schema)
 
-    Features: the log ratio a byte, the means over the most toxic distinct words, and what the suspect words add up to, also by the root
-    of the text's length. Frequent words are looked up while a text is read, all others are joined; texts do not move.
-    """
-    scores = word_scores(docs.select("__t"), ratios)
-    least = _least_frequent(scores)
-    frequent = scores.filter(F.col("n") >= least).select("word", "r").toPandas()
-    sent = docs.sparkSession.sparkContext.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["r"].tolist(), strict=True)))
-    suspect, most, other = round(SUSPECT / UNIT), round(MOST / UNIT), -(1 << 63)
-    number = T.LongType()
-    parts = T.StructType([T.StructField(c, number) for c in ("row", "bytes", "words", "total", "excess")])
-    parts.add("top", T.ArrayType(number)).add("others", T.ArrayType(T.StructType().add("word", T.BinaryType()).add("c", number)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = sent.value.get, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out, tops, words, counts, ends = [], [], [], [], [0]
-            for t in batch.column("__t"):
-                ws = tokens(t.as_py())
-                distinct = Counter(ws)
-                r = np.fromiter(map(known, distinct, repeat(other)), np.int64, len(distinct))
-                c = np.fromiter(distinct.values(), np.int64, len(distinct))
-                seen = r != other
-                if not seen.all():
-                    names = list(distinct)
-                    at = np.flatnonzero(~seen).tolist()
-                    words += [names[i] for i in at]
-                    counts += c[at].tolist()
-                    r, c = r[seen], c[seen]
-                ends.append(len(words))
-                out.append((row, sum(map(len, ws)) + len(ws), len(ws), int((r * c).sum()), int(np.clip(r - suspect, 0, most).sum())))
-                tops.append(np.sort(r)[::-1][: TOP[-1]].tolist())
-                row += 1
-            others = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
-            found = [pa.array(np.array(out, np.int64).reshape(-1, 5)[:, i]) for i in range(5)]
-            found += [pa.array(tops, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.StructArray.from_arrays(found, names=parts.names)], names=[*columns, "__parts"])
-
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("__parts", parts)])
-    rows = written(docs.select(*columns, "__t").mapInArrow(run, schema), "rows")
-    sent.destroy()
-    narrow = rows.select(*(F.col("__parts")[c].alias(c) for c in ("row", "bytes", "words", "total", "excess", "top")))
-    others = rows.select(F.col("__parts.row").alias("row"), F.explode("__parts.others").alias("o")).select("row", "o.word", "o.c")
-    others = others.join(scores.filter(F.col("n") < least).select("word", "r"), "word").groupBy("row").agg(
-        F.sum(F.col("r") * F.col("c")).alias("total2"),
-        F.sum(F.least(F.greatest(F.col("r") - suspect, F.lit(0)), F.lit(most))).alias("excess2"),
-        F.slice(F.sort_array(F.collect_list("r"), False), 1, TOP[-1]).alias("top2"),
-    )
-    both = narrow.join(others, "row", "left")
-    total = F.col("total") + F.coalesce("total2", F.lit(0))
-    excess = (F.col("excess") + F.coalesce("excess2", F.lit(0))) * UNIT
-    top = F.sort_array(F.concat("top", F.coalesce("top2", F.array().cast("array<bigint>"))), False)
-    mean = lambda k: F.aggregate(F.slice(top, 1, k), F.lit(0).cast("long"), lambda x, y: x + y) * UNIT / k
-    values = [total * UNIT / F.col("bytes"), *map(mean, TOP), F.log1p(excess), excess / F.sqrt("words"), F.log("words")]
-    return rows, both.select("row", *(F.when(F.col("words") > 0, v).otherwise(0.0).alias(f"x{i}") for i, v in enumerate(values)))
+def pieces_of(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together have about AT_ONCE characters, or one text."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > AT_ONCE and i > begin:
+            yield begin, i
+            begin, size = i, len(t or "")
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 @dataclass
 class Model:
-    """The log ratios of all n-grams, a written table, and the calibration: weights of the features, then a constant, and their bounds."""
+    """The log ratios of all n-grams, a written table, and the calibration: weights of the features, then a constant."""
 
     ratios: DataFrame
     weights: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
 
-    def score(self):
+    def score(self, feature: str):
         """The score as a column over the features."""
         z = F.lit(float(self.weights[-1]))
         for i in range(FEATURES):
-            z = z + F.least(F.greatest(F.col(f"x{i}"), F.lit(float(self.low[i]))), F.lit(float(self.high[i]))) * float(self.weights[i])
+            z = z + F.col(feature)[i] * float(self.weights[i])
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
@@ -372,28 +337,25 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     sample = marked.filter("fold = 0").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(CALIBRATION_ROWS).select("doc_id", "toxic")
     sample = F.broadcast(written(sample, "sample"))
     learn = texts.join(small_or_shuffled(written(marked.join(sample, "doc_id", "left_anti").select("doc_id", "toxic"), "learnt"), 48), "doc_id")
-    held = written(texts.join(sample, "doc_id").select(F.col("t").alias("__t"), "toxic"), "calibration")
-    counts, rest = gram_counts(learn.select("t", "toxic")), gram_counts(held.select(F.col("__t").alias("t"), "toxic"))
-    rows, found = features(held, ["toxic"], log_ratios(counts))
-    got = found.join(rows.select(F.col("__parts.row").alias("row"), "toxic"), "row").orderBy("row").toPandas()
-    x = got[[f"x{i}" for i in range(FEATURES)]].to_numpy()
-    # scores are not carried on beyond what the calibration rows have shown
-    low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(FEATURES), np.zeros(FEATURES))
+    held = written(texts.join(sample, "doc_id").select("doc_id", "t", "toxic"), "calibration")
+    counts, rest = gram_counts(learn.select("t", "toxic")), gram_counts(held.select("t", "toxic"))
+    got = described(held, ["doc_id", "toxic"], log_ratios(counts), "t", "x").toArrow().sort_by("doc_id")
+    x = np.array(got["x"].to_pylist()).reshape(-1, FEATURES)
     whole = counts.union(rest).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     ratios = log_ratios(written(whole, "all-grams"))
-    return Model(ratios, fit_weights(x, got["toxic"].to_numpy(dtype=float)), low, high)
+    return Model(ratios, fit_weights(x, got["toxic"].to_numpy().astype(float)))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """The columns of ``docs``, or those named, but score and predicted, then these: score in 0 to 1 and predicted = 1 from the threshold on.
 
     Whole texts are scored. Null, empty and blank texts score as a text without any evidence.
     """
-    columns = [c for c in columns or docs.columns if c not in ("score", "predicted")]
-    rows, found = features(docs.select(*columns, F.col(text_col).cast("string").alias("__t")), columns, model.ratios)
-    found = written(found.select(F.col("row").alias("__row"), model.score().alias("score")), "scores")
-    rows = rows.select(*columns, F.col("__parts.row").alias("__row")).join(small_or_shuffled(found, 40), "__row")
-    return rows.select(*columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    columns = [c for c in columns or docs.columns if c.lower() not in ("score", "predicted")]
+    text, feature = fresh(docs, "text_to_score", "features")
+    rows = described(docs.withColumn(text, F.col(text_col).cast("string")), columns, model.ratios, text, feature)
+    rows = rows.select(*columns, model.score(feature).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 #: Rows of the third fold are never learnt from.

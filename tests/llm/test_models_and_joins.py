@@ -1,5 +1,6 @@
 """Toxicity, piece sampling, the Jaccard join and the pipeline."""
 
+import functools
 import math
 import random
 from collections import Counter
@@ -183,27 +184,32 @@ def brute_score(text, word, model):
     ws = toxicity.tokens(text)
     x = [0.0] * toxicity.FEATURES
     if ws:
-        v = sorted((word(w) for w in set(ws)), reverse=True)
-        excess = sum(min(max(r - toxicity.SUSPECT, 0), toxicity.MOST) for r in v)
-        x = [sum(map(word, ws)) / sum(len(w) + 1 for w in ws), *(sum(v[:k]) / k for k in toxicity.TOP), math.log1p(excess), excess / math.sqrt(len(ws)), math.log(len(ws))]
-    z = sum(min(max(a, lo), hi) * w for a, lo, hi, w in zip(x, model.low, model.high, model.weights)) + model.weights[-1]
+        rate = lambda part: sum(map(word, part)) / sum(len(w) + 1 for w in part)
+        best = [max(rate(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))) for k in toxicity.WINDOWS]
+        x = [rate(ws), *best, math.log(len(ws))]
+    z = sum(a * w for a, w in zip(x, model.weights)) + model.weights[-1]
     return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
 
-def test_toxicity_keeps_every_n_gram(spark, monkeypatch):
-    """Scores against a model of unbounded size: few words and n-grams fit what is sent, all others are joined."""
+@pytest.mark.parametrize("sent", [10, 1 << 20])
+def test_toxicity_by_plain_kneser_ney(spark, monkeypatch, sent):
+    """Scores of a model that is sent to workers, and of one that is joined, against the formula itself."""
     rng = random.Random(11)
-    texts, labels = corpus(400, rng)
-    texts = [t + " " + " ".join("".join(rng.choices("abcdefghij\u00e9", k=rng.randint(3, 9))) for _ in range(12)) for t in texts] + [None, "", "unseen wo\u00e9rds \U0001f642"]
-    monkeypatch.setattr(toxicity, "FREQUENT", 40, raising=False)
-    monkeypatch.setattr(toxicity, "SLOTS", 1 << 10)
+    texts, labels = corpus(300, rng)
+    texts = [t + " " + " ".join("".join(rng.choices("abcdefghij\u00e9", k=rng.randint(3, 9))) for _ in range(12)) for t in texts]
+    texts += [None, "", "unseen wo\u00e9rds \U0001f642", texts[0] * 200]
+    monkeypatch.setattr(toxicity, "MOST_SENT", sent)
     counted, count = [], toxicity.gram_counts
     monkeypatch.setattr(toxicity, "gram_counts", lambda rows: counted.extend((r.t, r.toxic) for r in rows.collect()) or count(rows))
-    docs = frame(spark, texts)
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], "doc_id long, text string, Score string, row int, features string")
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), "true")
-    word = brute_log_ratios(counted)
-    for r in toxicity.score(docs, model).collect():
-        assert math.isclose(r.score, brute_score(texts[r.doc_id], word, model), abs_tol=1e-6)
+    word = functools.cache(brute_log_ratios(counted))
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "text", "row", "features", "score", "predicted"]
+    rows = got.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.text == texts[r.doc_id] and math.isclose(r.score, brute_score(texts[r.doc_id], word, model), abs_tol=1e-6)
 
 
 def test_toxicity_counts_all_usable_rows(spark):
@@ -217,6 +223,8 @@ def test_toxicity_without_toxic_rows(spark):
     docs = frame(spark, ["a b c", "d e f"])
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs, none).collect())
+    ids = [None, BIG, BIG, 7]
+    assert sorted((r.doc_id or 0, r.held_out) for r in toxicity.toxicity(frame(spark, ["a", "b", "b", "c"], ids).coalesce(1), none).collect())[0] == (0, False)
     assert toxicity.toxicity(docs.filter("false"), none).count() == 0
 
 
