@@ -64,6 +64,18 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pieces_of(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together have about AT_ONCE characters, or one text."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size > AT_ONCE and i > begin:
+            yield begin, i
+            begin, size = i, len(t or "")
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """(gram, toxic, ordinary) over all rows of (t, toxic): each task adds up a bounded table, then one grouping adds the tasks."""
 
@@ -79,17 +91,17 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             for label in (0, 1):
-                words = [w for t in batch["t"][batch["toxic"] == label] for w in tokens(t)]
-                if words:
-                    grams, n = np.unique(word_grams(words)[0], return_counts=True)
-                    counts = np.zeros((len(grams), 2), np.int64)
-                    counts[:, 1 - label] = n
-                    held.append((grams, counts))
-            if len(held) > 1:
-                held = [summed(held)]
-                if len(held[0][0]) > HELD_GRAMS:
-                    yield pd.DataFrame({"gram": held[0][0].view(np.int64), "toxic": held[0][1][:, 0], "ordinary": held[0][1][:, 1]})
-                    held = []
+                texts = batch["t"][batch["toxic"] == label].tolist()
+                for begin, end in pieces_of(texts):
+                    words = [w for t in texts[begin:end] for w in tokens(t)]
+                    if words:
+                        grams, n = np.unique(word_grams(words)[0], return_counts=True)
+                        counts = np.zeros((len(grams), 2), np.int64)
+                        counts[:, 1 - label] = n
+                        held = [summed([*held, (grams, counts)])]
+                        if len(held[0][0]) > HELD_GRAMS:
+                            yield pd.DataFrame({"gram": held[0][0].view(np.int64), "toxic": held[0][1][:, 0], "ordinary": held[0][1][:, 1]})
+                            held = []
         if held:
             grams, counts = summed(held)
             yield pd.DataFrame({"gram": grams.view(np.int64), "toxic": counts[:, 0], "ordinary": counts[:, 1]})
@@ -276,18 +288,6 @@ def described(docs: DataFrame, columns: list[str], ratios: DataFrame, text: str,
     return docs.join(pairs, row, "left").drop(row).mapInArrow(run, schema)
 
 
-def pieces_of(texts: list) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together have about AT_ONCE characters, or one text."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > AT_ONCE and i > begin:
-            yield begin, i
-            begin, size = i, len(t or "")
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 @dataclass
 class Model:
     """The log ratios of all n-grams, a written table, and the calibration: weights of the features, then a constant."""
