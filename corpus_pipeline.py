@@ -18,7 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject; learnt from all labelled rows outside the held-out third."""
+    """Documents that the toxicity models do not reject; learnt from all labelled rows outside the held-out third.
+
+    Null, empty and blank texts have no evidence and stay; null ids are scored and never learnt from; repeated rows share their fate;
+    other columns go; an empty table gives an empty result.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels, F.expr(f"not ({toxicity.HELD_OUT})"))
@@ -26,7 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
+    """One document of each group of equal texts, A-Z folded: the one with the largest id.
+
+    Null and empty texts equal each other; null ids lose to any other; of rows that agree in both one stays; an empty table gives an
+    empty result.
+    """
     ship(spark)
     return exact_dedup.survivors(docs).select(*COLUMNS)
 
@@ -34,20 +42,29 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents: the one with the smallest id.
 
-    Rows are told apart by id and text; null ids come last. Documents without words have no component and stay.
+    Rows are told apart by id and text; null ids come last. Documents without words have no component and stay; an empty table gives an
+    empty result.
     """
     ship(spark)
     return jaccard_join.survivors(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources have the same expected share; a row for each copy."""
+    """Documents repeated so that all sources have the same expected share; a row for each copy.
+
+    A null source counts as the empty one; rows without an id share a draw, as rows that repeat an id do; an empty table gives an
+    empty result.
+    """
     ship(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every document, with a check that they decode to its text."""
+    """doc_id, source, pieces, n_pieces, decoded_sha256, lossless of every document.
+
+    A null or empty text has no pieces; draws are seeded by the id, without one by the text; repeated rows repeat their pieces; an
+    empty table gives an empty result.
+    """
     ship(spark)
     found = piece_sampling.sample_pieces(docs.select("doc_id", "source", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
     return found.select("doc_id", "source", "pieces", "n_pieces", "decoded_sha256", "lossless")
