@@ -27,7 +27,7 @@ HELD_GRAMS = 1 << 18
 #: Words whose ratios a task remembers, and bytes of text that it scores at once.
 HELD_WORDS, AT_ONCE = 1 << 17, 1 << 20
 
-#: N-grams and contexts of a model that is sent to all workers (12 bytes each); a larger model stays a table that words are joined with.
+#: N-grams of a model that is sent to all workers (12 bytes each); a larger model stays a table that words are joined with.
 MOST_SENT = 6_000_000
 
 #: Log ratios are whole numbers of this share, so that sums are the same in any order.
@@ -111,11 +111,11 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
-    """(gram, n, r) of all seen n-grams and, with a negative gram, of contexts, which stand for what was never seen after them.
+    """(gram, n, r) of all seen n-grams: their count, and the log ratio of what the two classes' models give them.
 
-    P_c(w | h) = max(c(hw) - D, 0) / c(h) + D t_c(h) / c(h) * P(w | h'), where t_c counts distinct continuations in a class and P, the
-    shared backoff, counts distinct contexts: of all n-grams of both classes, in how many different ones does the shorter one occur.
-    In a context that a class has never shown its model is the backoff itself.
+    P_c(w | h) = max(c_c(hw) - D, 0) / c_c(h) + D t(h) / c(h) * P(w | h'). The backoff is shared: t counts the distinct continuations
+    of h in both classes, and P counts distinct contexts, in how many different n-grams of both classes the shorter one occurs. So
+    what neither class has seen has a ratio of 1 and says nothing, however unequal the classes are.
     """
     d = DISCOUNT
     byte = F.lit(255)
@@ -140,20 +140,12 @@ def log_ratios(grams: DataFrame) -> DataFrame:
             p = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("types") * F.col("p_below")) / F.col("total")
         size = 1 if lower is None else lower[1] + 1
         lower = (written(joined.select(F.col("g").alias("below"), p.alias("p_below")), "backoff"), size)
-    contexts = rows.groupBy("h").agg(
-        F.sum("toxic").alias("ct"),
-        F.sum("ordinary").alias("co"),
-        F.sum((F.col("toxic") > 0).cast("int")).alias("tt"),
-        F.sum((F.col("ordinary") > 0).cast("int")).alias("to"),
-    )
-    weight = lambda c, t: F.when(F.col(c) > 0, d * F.col(t) / F.col(c)).otherwise(F.lit(1.0))
-    share = lambda n, c: F.when(F.col(c) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(c)).otherwise(F.lit(0.0))
+    contexts = rows.groupBy("h").agg(F.sum("toxic").alias("ct"), F.sum("ordinary").alias("co"), F.count(F.lit(1)).alias("kinds"))
     seen = rows.join(contexts, "h").join(lower[0].withColumnRenamed("below", "tail"), "tail")
-    model = lambda n, c, t: share(n, c) + weight(c, t) * F.col("p_below")
-    ratio = F.log(model("toxic", "ct", "tt") / model("ordinary", "co", "to"))
-    unseen = contexts.select((-F.col("h") - 1).alias("gram"), (F.col("ct") + F.col("co")).alias("n"), F.log(weight("ct", "tt") / weight("co", "to")).alias("ratio"))
-    whole = seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), ratio.alias("ratio")).union(unseen)
-    return written(whole.select("gram", "n", F.round(F.col("ratio") / UNIT).cast("long").alias("r")), "ratios")
+    share = lambda n, c: F.when(F.col(c) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(c)).otherwise(F.lit(0.0))
+    shared = d * F.col("kinds") / (F.col("ct") + F.col("co")) * F.col("p_below")
+    ratio = F.log((share("toxic", "ct") + shared) / (share("ordinary", "co") + shared))
+    return written(seen.select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), F.round(ratio / UNIT).cast("long").alias("r")), "ratios")
 
 
 def _bucket(gram: np.ndarray, bits: int) -> np.ndarray:
@@ -163,7 +155,7 @@ def _bucket(gram: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Table:
-    """All n-grams and contexts of a model with their log ratios, as a hash table in three arrays."""
+    """All n-grams of a model with their log ratios, as a hash table in three arrays."""
 
     def __init__(self, gram: np.ndarray, r: np.ndarray):
         self.bits = max(4, len(gram).bit_length())
@@ -172,27 +164,24 @@ class Table:
         self.gram, self.r = gram[order], r[order].astype(np.int32)
         self.start = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
-    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log ratio or 0, whether it is there)."""
+    def find(self, gram: np.ndarray) -> np.ndarray:
+        """Log ratios; 0 for what was never seen."""
         bucket = _bucket(gram, self.bits)
         at, end = self.start[bucket], self.start[bucket + 1]
-        r, here = np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+        r = np.zeros(len(gram), np.int64)
         live = np.flatnonzero(at < end)
         while len(live):
             hit = self.gram[at[live]] == gram[live]
-            r[live[hit]], here[live[hit]] = self.r[at[live[hit]]], True
+            r[live[hit]] = self.r[at[live[hit]]]
             at[live] += 1
             live = live[~hit & (at[live] < end[live])]
-        return r, here
+        return r
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """The log ratio of each word: the sum over its n-grams. One that was never seen counts as its context's unseen ones, if that was."""
+        """The log ratio of each word: the sum over its n-grams."""
         gram, word = word_grams(words)
-        gram = gram.view(np.int64)
-        r, here = self.find(gram)
-        r[~here] = self.find(-(gram[~here] >> 8) - 1)[0]
         total = np.zeros(len(words), np.int64)
-        np.add.at(total, word, r)
+        np.add.at(total, word, self.find(gram.view(np.int64)))
         return total
 
 
@@ -216,10 +205,8 @@ def word_ratios(texts: DataFrame, ratios: DataFrame) -> DataFrame:
 
     words = texts.mapInArrow(distinct, "word binary").distinct()
     ratios = ratios.select("gram", "r")
-    found = written(words.mapInArrow(spelled, "word binary, gram long").join(ratios, "gram", "left"), "word-grams")
-    unseen = found.filter("r is null").select("word", (-F.shiftright("gram", 8) - 1).alias("gram")).join(ratios, "gram", "left")
-    both = found.filter("r is not null").select("word", "r").union(unseen.select("word", F.coalesce("r", F.lit(0))))
-    return written(both.groupBy("word").agg(F.sum("r").alias("r")), "word-ratios")
+    found = words.mapInArrow(spelled, "word binary, gram long").join(ratios, "gram", "left")
+    return written(found.groupBy("word").agg(F.sum(F.coalesce("r", F.lit(0))).alias("r")), "word-ratios")
 
 
 def features(r: np.ndarray, sizes: np.ndarray) -> np.ndarray:

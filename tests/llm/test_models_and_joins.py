@@ -162,20 +162,18 @@ def brute_log_ratios(rows):
         below = backoff(g[1:]) if len(g) > 1 else 1 / 256
         return (max(before[len(g)][g] - d, 0) + d * types[len(g)][g[:-1]] * below) / after[len(g)][g[:-1]]
 
-    total, kinds = Counter(), Counter()
+    total, kinds = Counter(), Counter(g[:-1] for g in level[order])
     for (g, label), n in counts.items():
         total[g[:-1], label] += n
-        kinds[g[:-1], label] += 1
-    weight = lambda h, c: d * kinds[h, c] / total[h, c] if total[h, c] else 1.0
     share = lambda g, c: max(counts[g, c] - d, 0) / total[g[:-1], c] if total[g[:-1], c] else 0.0
-    known, contexts = level[order], {g[:-1] for g in level[order]}
+    known = level[order]
 
     def ratio(g):
+        if g not in known:
+            return 0.0
         h = g[:-1]
-        if g in known:
-            p = backoff(g[1:])
-            return math.log((share(g, 1) + weight(h, 1) * p) / (share(g, 0) + weight(h, 0) * p))
-        return math.log(weight(h, 1) / weight(h, 0)) if h in contexts else 0.0
+        shared = d * kinds[h] / (total[h, 0] + total[h, 1]) * backoff(g[1:])
+        return math.log((share(g, 1) + shared) / (share(g, 0) + shared))
 
     return lambda w: sum(map(ratio, grams(w)))
 
@@ -215,7 +213,7 @@ def test_toxicity_by_plain_kneser_ney(spark, monkeypatch, sent):
 def test_toxicity_counts_all_usable_rows(spark):
     texts, labels = corpus(60, random.Random(12))
     model = toxicity.train(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), "true")
-    counted = model.ratios.filter("gram >= 0").groupBy().sum("n").first()[0]
+    counted = model.ratios.groupBy().sum("n").first()[0]
     assert counted == sum(len(w) + 1 for t in texts for w in toxicity.tokens(t))
 
 
