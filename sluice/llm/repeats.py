@@ -18,6 +18,9 @@ from sluice.llm.common import BROADCAST_BYTES, exact_id, written
 _C = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 28) - 1)
 
+#: Windows of a document that are looked at at once; their positions fit the low bits.
+AT_ONCE = 1 << 24
+
 #: Anchors whose contexts one task is given, on average.
 ANCHORS_A_SHARD = 16_000
 
@@ -35,10 +38,17 @@ def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of one document's anchors: the leftmost least gram of every window."""
+def anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, begins, ends) of one document's anchors: the leftmost least gram of every window.
+
+    ``begins`` and ``ends`` are where the windows of an anchor, which follow one another, begin first and end last.
+    """
     if len(units) < window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(units) > AT_ONCE + window:
+        parts = [anchors(units[b : b + AT_ONCE + window - 1], window, gram) for b in range(0, len(units) - window + 1, AT_ONCE)]
+        shift = lambda i: np.concatenate([p[i] + b * AT_ONCE for b, p in enumerate(parts)])
+        return shift(0), np.concatenate([p[1] for p in parts]), shift(2), shift(3)
     h = gram_hashes(units, gram)
     w = window - gram + 1
     key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
@@ -48,8 +58,9 @@ def anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(key) - w + 1
     least = np.minimum(after[:n], before[w - 1 : w - 1 + n])
-    at = np.unique(least[np.r_[True, least[1:] != least[:-1]]] & _LOW).astype(np.int64)
-    return at, h[at]
+    begins = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    at = (least[begins] & _LOW).astype(np.int64)
+    return at, h[at], begins, np.r_[begins[1:], n] - 1 + window
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,25 +70,27 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_anchors(rows: DataFrame, units_of: Callable[[str], np.ndarray], window: int, gram: int) -> DataFrame:
-    """(d, at): for each distinct text the places of its anchors that occur at another place too, copies of the text aside."""
+    """(d, at): for each distinct text its anchors that occur at another place too, copies of the text aside: place p, begin b, end e."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
         for batch in batches:
-            a, d, p = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            a, d, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((3, 0), np.int64)]
             for key, t in zip(batch["d"], batch["t"], strict=True):
                 if key not in seen:
                     seen.add(key)
-                    at, h = anchors(units_of(t), window, gram)
+                    at, h, begins, ends = anchors(units_of(t), window, gram)
                     a.append(h)
-                    p.append(at)
+                    places.append(np.stack([at, begins, ends]))
                     d.append(np.full(len(at), key))
-            yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "d": np.concatenate(d), "p": np.concatenate(p).astype(np.int32)})
+            p, b, e = np.concatenate(places, axis=1).astype(np.int32)
+            yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "d": np.concatenate(d), "p": p, "b": p - b, "e": e - p})
 
-    found = written(rows.select("d", "t").mapInPandas(run, "a long, d long, p int"), "anchors")
+    found = written(rows.select("d", "t").mapInPandas(run, "a long, d long, p int, b int, e int"), "anchors")
     place = F.xxhash64("d", "p")
     again = found.groupBy("a").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("a")
-    return written(found.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set("p")).alias("at")), "repeated")
+    again = written(again, "again")  # a join of two exchanges is one that Spark can split where a key is hot
+    return written(found.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set(F.struct("p", "b", "e"))).alias("at")), "repeated")
 
 
 def bounded(side: DataFrame, array: str, item_bytes: int) -> DataFrame:
@@ -87,7 +100,7 @@ def bounded(side: DataFrame, array: str, item_bytes: int) -> DataFrame:
 
 
 def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarray], Iterator[tuple]], units_of, window: int, gram: int) -> DataFrame:
-    """(a, d, start, ch, body): around each repeated anchor all windows that hold it; dealt out by anchor.
+    """(a, d, start, ch, body): around each repeated anchor all windows that it is the anchor of; dealt out by anchor.
 
     ``start`` is the unit at which the context begins, ``body`` its bytes. A task that meets an anchor's equal context again leaves its body
     out (null) and sends the hash ``ch`` only, so that a passage in a third of all documents travels once a task. Contexts of one
@@ -104,10 +117,9 @@ def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarra
                 if d in seen_text:
                     continue
                 seen_text.add(d)
-                at = np.asarray(at, dtype=np.int64)
-                units = units_of(t)
-                h = gram_hashes(units, gram)[at]
-                lo, hi = np.maximum(at - (window - gram), 0), np.minimum(at + window, len(units))
+                at, lo, hi = (np.array([x[c] for x in at], np.int64) for c in "pbe")
+                lo, hi = at - lo, at + hi
+                h = gram_hashes(units_of(t), gram)[at]
                 order = np.lexsort((at, h))
                 h, lo, hi = h[order], lo[order], hi[order]
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (lo[1:] > hi[:-1])])

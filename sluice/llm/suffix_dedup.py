@@ -76,19 +76,26 @@ class SuffixQueues:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b have in common, at most ``most``."""
-    out = np.zeros(len(a), np.int16)
-    live = np.arange(len(a))
-    done, n = 0, len(text)
+    """Symbols that the suffixes at a and b have in common, at most ``most``; four at a time where the text goes on for so long."""
+    out = np.full(len(a), most, np.int16)
+    fours = np.ndarray(max(0, len(text) - 3), np.uint64, text.data, strides=(2,)) if len(text) > 3 else np.empty(0, np.uint64)
+    live, done, n = np.flatnonzero(a != b), 0, len(text)
     while len(live) and done < most:
-        step = min(16, most - done)
-        offsets = np.arange(done, done + step)
-        x = text[np.minimum(a[live, None] + offsets, n - 1)]
-        y = text[np.minimum(b[live, None] + offsets, n - 1)]
-        same = np.logical_and.accumulate(x == y, axis=1).sum(axis=1)
-        out[live] = done + same
-        live = live[same == step]
-        done += step
+        x, y = a[live] + done, b[live] + done
+        whole = np.maximum(x, y) < len(fours)
+        differ = np.ones(len(live), np.int64)
+        differ[whole] = (fours[x[whole]] ^ fours[y[whole]]).view(np.int64)
+        for i in np.flatnonzero(~whole):  # at the end of the text
+            k = 0
+            while max(x[i], y[i]) + k < n and text[x[i] + k] == text[y[i] + k]:
+                k += 1
+            out[live[i]] = min(done + k, most)
+        ends = np.flatnonzero(whole & (differ != 0))
+        low = differ[ends] & -differ[ends]  # the lowest bit that differs is in the first symbol that does
+        first = (low < 0).astype(np.int64) * 3 + np.where(low > 0, np.searchsorted(np.array([1 << 16, 1 << 32, 1 << 48]), low, "right"), 0)
+        out[live[ends]] = np.minimum(done + first, most)
+        live = live[whole & (differ == 0)]
+        done += 4
     return out
 
 
@@ -106,7 +113,7 @@ def _order_of_leftmost(text: np.ndarray, falls: np.ndarray, stars: np.ndarray, m
             at = stars[live] + done + j
             inside = done + j < size[live]
             key = (key << np.uint64(10)) | np.where(inside, symbol[np.minimum(at, n - 1)] + np.uint64(1), np.uint64(0))
-        order = np.lexsort((key, rank[live]))
+        order = np.lexsort((key, rank[live])) if done else np.argsort(key, kind="stable")
         r, k = rank[live][order], key[order]
         fresh = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])]
         begin = np.r_[True, r[1:] != r[:-1]]
@@ -128,7 +135,7 @@ def _order_of_names(rank: np.ndarray, most: int) -> np.ndarray:
     live = np.arange(m)
     count = np.bincount(rank, minlength=m)
     live = live[count[rank] > 1]
-    while len(live) and step <= most:
+    while len(live) and 2 * step <= most:  # so far names of 2 * step symbols at least are told apart
         behind = np.where(live + step < m, rank[np.minimum(live + step, m - 1)], -1)
         key = rank[live] * (m + 1) + behind + 1
         order = np.argsort(key, kind="stable")

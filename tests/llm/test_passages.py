@@ -107,9 +107,27 @@ def test_phrase_automata(spark):
 
 
 def test_repeated_and_null_ids(spark):
-    text = " ".join(f"w{i}" for i in range(90))
-    for rows in (suffix_dedup.suffix_dedup(frame(spark, [text, text, "solo"], [None, 7, 7])).collect(), phrase_automata.substring_dedup(frame(spark, [text, text, "solo"], [None, 7, 7])).collect()):
-        assert sorted(r.n_removed > 0 for r in rows) == [False, True, True]
+    """A null id in the batch of ids that no float can hold; rows that repeat; columns with clashing names."""
+    text, big = " ".join(f"w{i}" for i in range(90)), (1 << 53) + 1
+    docs = frame(spark, [text, text, "solo", "solo"], [None, big, big + 2, big + 2]).coalesce(1)
+    for rows in (suffix_dedup.suffix_dedup(docs).collect(), phrase_automata.substring_dedup(docs).collect()):
+        assert Counter((r.doc_id, r.n_removed > 0) for r in rows) == Counter([(None, True), (big, True), (big + 2, False), (big + 2, False)])
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 64])
+def test_anchors_in_pieces(monkeypatch, at_once):
+    """Each window has the same anchor, whether a long document is looked at whole or in pieces."""
+    units = np.random.default_rng(3).integers(0, 3, 900).astype(np.uint64)
+
+    def anchor_of_window():
+        found = {}
+        for p, h, b, e in zip(*(x.tolist() for x in repeats.anchors(units, 35, 8))):
+            found |= {s: (p, h) for s in range(b, e - 35 + 1)}
+        return found
+
+    whole = anchor_of_window()
+    monkeypatch.setattr(repeats, "AT_ONCE", at_once)
+    assert anchor_of_window() == whole and set(whole) == set(range(len(units) - 34))
 
 
 def test_empty(spark):
