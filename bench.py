@@ -6,11 +6,14 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from sluice import catalogue
+from sluice.engine import Engine
+from sluice.sources import importer, search
 
 #: Queries that stand for the reference's published measurements and for each kind of stage.
 HEADLINE = (
@@ -19,6 +22,25 @@ HEADLINE = (
 )
 
 
+def sized(spark) -> dict:
+    """The published measurements at their own sizes: a group and an import of 2 M rows, a view with a pushed filter over 1.8 M, a search."""
+    folder = f"file://{tempfile.mkdtemp(prefix='bench-')}"
+    made = spark.range(2_000_000).selectExpr("id", "concat('k', id % 40) as code", "id % 7 as qty", "(id % 13) * 1.5 as price", "concat(1 + id % 12, '-2025') as period", "id % 1000 as entity", "md5(id) as note")
+    made.coalesce(8).write.parquet(f"{folder}/sales.parquet")
+    made.coalesce(8).write.option("header", "true").csv(f"{folder}/sales.csv")
+    engine = Engine(spark, folder)
+    engine.query("define view statement | exec | on sales | where id < 1800000 | derive total = price * qty | end | end")
+    texts = spark.range(180_000).selectExpr("id", "concat_ws(' ', md5(id), concat('item', id % 5000), concat('place', id % 300)) as text")
+    search.index(texts, "id", "text").write.parquet(f"{folder}/words.parquet")
+    words = spark.read.parquet(f"{folder}/words.parquet")
+    return {
+        "sized_group_computed": lambda *_: engine.query("on sales | group code, price * qty as total"),
+        "sized_view_filter": lambda *_: engine.query("on view statement | where entity == 7 | group period, total"),
+        "sized_csv_import": lambda *_: importer.read_csv(spark, f"{folder}/sales.csv"),
+        "sized_search": lambda *_: search.search(words, "item77 place12"),
+    }
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -32,8 +54,9 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    found, queries = {}, catalogue.queries()
-    for name in HEADLINE:
+    own = sized(spark)
+    found, queries = {}, catalogue.queries() | own
+    for name in (*HEADLINE, *own):
         times = []
         for _ in range(4):
             began = time.time()

@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sluice.engine import Engine
-from sluice.sources import search
+from sluice.engine import Engine, register_stage
+from sluice.sources import importer, search
 from sluice.streaming import windows
 
 VECTOR = [1.0 if i == 0 else 0.5 if i == 7 else 0.0 for i in range(64)]
@@ -117,11 +117,11 @@ ENTRIES: list[tuple[str, str, str | None]] = [
      "on customer | window | partition by c_nationkey | order by c_acctbal desc, c_custkey | row_number as place | lag place as before | end | where place <= 3 | select c_custkey, place, before",
      "SELECT c_custkey, place, CASE WHEN place > 1 THEN place - 1 END AS before FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place <= 3"),
     ("fill_numeric",
-     "on part | where p_size % 7 == 0 | group | by p_type, p_size | count as n | end | fill p_size from 0 to 49 step 7 by p_type with n = 0 | select p_type, to_int(p_size) as p_size, n",
-     "WITH g AS (SELECT p_type, p_size::BIGINT AS p_size, count(*) AS n FROM part WHERE p_size % 7 = 0 GROUP BY 1, 2), w AS (SELECT DISTINCT p_type, unnest(range(0, 50, 7)) AS p_size FROM g) SELECT p_type, p_size, n FROM g UNION ALL SELECT p_type, p_size, 0 FROM w ANTI JOIN g USING (p_type, p_size)"),
+     "on part | group | by p_type, p_size | count as n | end | fill p_size from 0 to 63 step 7 by p_type with n = 0 | select p_type, to_int(p_size) as p_size, n",
+     "WITH g AS (SELECT p_type, p_size::BIGINT AS p_size, count(*) AS n FROM part GROUP BY 1, 2), w AS (SELECT DISTINCT p_type, unnest(range(0, 64, 7)) AS p_size FROM g) SELECT p_type, p_size, n FROM g UNION ALL SELECT p_type, p_size, 0 FROM w ANTI JOIN g USING (p_type, p_size)"),
     ("fill_month",
-     'on orders | where o_orderstatus == "P" and o_custkey < 60 | derive m = date_format(o_orderdate, "%Y-%m") | group | by o_custkey, m | count as n | end | fill m from "1996-01" to "1996-12" step "month" by o_custkey with n = 0',
-     "WITH g AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders WHERE o_orderstatus = 'P' AND o_custkey < 60 GROUP BY 1, 2), w AS (SELECT DISTINCT o_custkey, strftime(t, '%Y-%m') AS m FROM g, range(DATE '1996-01-01', DATE '1997-01-01', INTERVAL 1 MONTH) r(t)) SELECT o_custkey, m, n FROM g UNION ALL SELECT o_custkey, m, 0 FROM w ANTI JOIN g USING (o_custkey, m)"),
+     'on orders | where o_orderstatus == "P" | derive m = date_format(o_orderdate, "%Y-%m") | group | by o_custkey, m | count as n | end | fill m from "1996-01" to "1996-12" step "month" by o_custkey with n = 0',
+     "WITH g AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS m, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2), w AS (SELECT DISTINCT o_custkey, strftime(t, '%Y-%m') AS m FROM g, range(DATE '1996-01-01', DATE '1997-01-01', INTERVAL 1 MONTH) r(t)) SELECT o_custkey, m, n FROM g UNION ALL SELECT o_custkey, m, 0 FROM w ANTI JOIN g USING (o_custkey, m)"),
     ("lookup_equi",
      "on customer as c | lookup orders as o on o.o_custkey == c.c_custkey into os | select c_custkey, len(os) as n",
      "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
@@ -141,8 +141,24 @@ ENTRIES: list[tuple[str, str, str | None]] = [
      f"on part as p | lookup values {_PREFIXES} as r | where starts_with(p.p_brand, r.prefix) | derive l = len(prefix) | sort l desc | first | select cat | into rule | end | select p_partkey, at(rule, 0) as r0 | derive cat = r0.cat | drop r0",
      "SELECT p_partkey, CASE WHEN starts_with(p_brand, 'Brand#12') THEN 'b' WHEN starts_with(p_brand, 'Brand#1') THEN 'a' WHEN starts_with(p_brand, 'Brand#2') THEN 'c' END AS cat FROM part"),
     ("lookup_as_of",
-     "on orders as o | where o_orderkey < 200 | lookup orders as p | where p.o_custkey == o.o_custkey and p.o_orderdate < o.o_orderdate | sort o_orderdate desc, o_orderkey | first | select o_orderkey | into prev | end | select o_orderkey, at(prev, 0) as p0 | derive before = p0.o_orderkey | drop p0",
-     "SELECT o.o_orderkey, arg_min(p.o_orderkey, (-epoch_ms(p.o_orderdate), p.o_orderkey)) AS before FROM orders o LEFT JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderdate < o.o_orderdate WHERE o.o_orderkey < 200 GROUP BY 1"),
+     "on orders as o | lookup orders as p | where p.o_custkey == o.o_custkey and p.o_orderdate < o.o_orderdate | sort o_orderdate desc, o_orderkey | first | select o_orderkey | into prev | end | select o_orderkey, at(prev, 0) as p0 | derive before = p0.o_orderkey | drop p0",
+     "SELECT o.o_orderkey, arg_min(p.o_orderkey, (-epoch_ms(p.o_orderdate), p.o_orderkey)) AS before FROM orders o LEFT JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderdate < o.o_orderdate GROUP BY 1"),
+    ("lookup_following",
+     "on orders as o | lookup orders as p | where p.o_custkey == o.o_custkey and p.o_orderdate >= o.o_orderdate | sort o_orderdate, o_totalprice desc, o_orderkey | limit 1 | select o_totalprice | into next | end | select o_orderkey, at(next, 0) as n0 | derive price = n0.o_totalprice | drop n0",
+     "SELECT o.o_orderkey, arg_min(p.o_totalprice, (epoch_us(p.o_orderdate), -p.o_totalprice, p.o_orderkey)) AS price FROM orders o LEFT JOIN orders p ON p.o_custkey = o.o_custkey AND p.o_orderdate >= o.o_orderdate GROUP BY 1"),
+    ("distinct_limit",
+     "on orders | sort o_totalprice desc, o_orderkey | distinct o_custkey | limit 7 | select o_custkey, o_orderkey",
+     "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 7"),
+    *[(f"pivot_{fn}",
+       f"on orders | sort o_orderkey | pivot | rows o_orderpriority | columns o_orderstatus | values o_totalprice | aggregate {fn} | end | derive F = {call.format('F')}, O = {call.format('O')}, P = {call.format('P')}",
+       "SELECT o_orderpriority, " + ", ".join(sql.format(c) + f' AS "{c}"' for c in "FOP") + " FROM orders GROUP BY 1")
+      for fn, call, sql in (
+          ("avg", "round({}, 4)", "round(avg(o_totalprice) FILTER (WHERE o_orderstatus = '{}'), 4)"),
+          ("min", "{}", "min(o_totalprice) FILTER (WHERE o_orderstatus = '{}')"),
+          ("first", "{}", "arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = '{}')"),
+          ("last", "{}", "arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = '{}')"),
+          ("list", "len({})", "count(*) FILTER (WHERE o_orderstatus = '{}')"))],
+    ("now_is_now", "on region | select r_regionkey, date_diff(now(), now(), \"day\") as d, now() > parse_date(\"2020-01-01\") as later", "SELECT r_regionkey, 0::BIGINT AS d, true AS later FROM region"),
     ("lookup_nested",
      "on region as r | lookup nation as n | where n.n_regionkey == r.r_regionkey | lookup supplier as s | where s.s_nationkey == n.n_nationkey | select s_suppkey | into ss | end | derive k = len(ss) | select n_name, k | into ns | end | unwind ns | select r_name, ns.n_name as n_name, ns.k as k",
      "SELECT r_name, n_name, count(s_suppkey) AS k FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name, n_nationkey"),
@@ -305,7 +321,69 @@ def explained(spark, sf_dir):
 def search_words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     words = search.index(docs, "doc_id", "text")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("hits").alias("hits")).filter(F.col("word").rlike("^[a-z]+$") & (F.col("docs") > 5))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("hits").alias("hits"))
+
+
+def as_of_lookup(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on region | into areas")
+    e.query("on areas | where r_regionkey < 2 | delete")
+    e.query("on copy | where n_nationkey > 3 | delete")
+    return e.query("on copy as of 2 | lookup areas on r_regionkey == n_regionkey into found | select n_nationkey, len(found) as areas | drop _id")
+
+
+def as_of_union(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on region | into areas")
+    e.query('on areas | set r_name = "changed"')
+    return e.query("on copy as of 2 | select n_name as name | union | on areas | select r_name as name | end | drop _id")
+
+
+def view_params(spark, sf_dir):
+    e = Engine(spark, sf_dir)
+    e.query("define view balances | exec | let $least ?= 0 | on supplier as s | where s.s_acctbal > $least and s.s_nationkey in $nations | end | end")
+    e.query("define view wide | exec | let $nations = [1, 2, 3, 4] | on view balances | select s_suppkey | end | end")
+    return e.query("let $least = 2000, $nations = [3] | on view balances | select s_suppkey | derive side = 1 | union | on view wide | derive side = 2 | end")
+
+
+def store_snapshots(spark, sf_dir):
+    """More commits than a snapshot waits for; the present and the past before it."""
+    e = _copied(spark, sf_dir, "nation")
+    for i in range(4):
+        e.query(f"on copy | where n_regionkey == {i} | set n_name = lower(n_name)")
+        e.store.snapshot("copy")
+    e.query("on copy | where n_regionkey == 4 | delete")
+    return e.query('on copy | select n_nationkey, n_name | derive at = "now" | union | on copy as of 3 | select n_nationkey, n_name | derive at = "then" | end | drop _id')
+
+
+def backup_restored(spark, sf_dir):
+    e = _copied(spark, sf_dir, "nation")
+    e.query("on copy | where n_regionkey == 2 | delete")
+    folder = f"{e.store.path}-backup"
+    e.store.backup(folder)
+    other = _fresh(spark)
+    other.store.restore(folder)
+    return other.query("on copy | select n_nationkey, n_name | drop _id")
+
+
+def load_update(spark, sf_dir):
+    e = _fresh(spark)
+    e.query('on stock | insert [{_id: "a", sku: "A", qty: 1}, {_id: "b", sku: "B", qty: 2}]')
+    e.query('on stock | load | with update | chunk [{_id: "b", qty: 7}] | end')
+    return e.query("on stock | select _id, sku, qty")
+
+
+def import_csv(spark, sf_dir):
+    """A table written as CSV and read back by the importer, which finds out separators and types."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='csv-')}"
+    path = f"{base}/customer-{uuid.uuid4().hex}.csv"
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.option("header", "true").csv(path)
+    return importer.read_csv(spark, path)
+
+
+def custom_stage(spark, sf_dir):
+    register_stage("cheapest", lambda df, words: df.groupBy(words[0]).agg(F.min(words[1]).alias("least")))
+    return Engine(spark, sf_dir).query("on orders | where o_totalprice > 5000 | cheapest o_orderstatus o_totalprice | derive least = round(least, 2)")
 
 
 def stream_tumbling(spark, sf_dir):
@@ -317,7 +395,7 @@ def stream_sessions(spark, sf_dir):
 
 
 def _extra() -> dict:
-    named = (write_set, write_delete, write_load_merge, write_together, time_travel, history_rows, views, scoped, explained, search_words, stream_tumbling, stream_sessions)
+    named = (as_of_lookup, as_of_union, view_params, store_snapshots, backup_restored, load_update, import_csv, custom_stage, write_set, write_delete, write_load_merge, write_together, time_travel, history_rows, views, scoped, explained, search_words, stream_tumbling, stream_sessions)
     return {f.__name__: f for f in named}
 
 
@@ -331,7 +409,15 @@ EXTRA_SQL: dict[str, str] = {
     "views": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000",
     "scoped": "SELECT o_orderpriority, count(*) AS \"count\" FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
     "explained": "SELECT 'orders' AS collection, true AS read_only, 'blocking' AS mode, 'where sort limit' AS operators",
-    "search_words": "SELECT word, count(*) AS docs, sum(hits)::BIGINT AS hits FROM (SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 5 AND regexp_full_match(word, '[a-z]+')",
+    "search_words": "SELECT word, count(*) AS docs, sum(hits)::BIGINT AS hits FROM (SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2) GROUP BY 1",
+    "as_of_lookup": "SELECT n_nationkey::BIGINT AS n_nationkey, 1::BIGINT AS areas FROM nation",
+    "as_of_union": "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region",
+    "view_params": "SELECT s_suppkey, 1::BIGINT AS side FROM supplier WHERE s_acctbal > 2000 AND s_nationkey = 3 UNION ALL SELECT s_suppkey, 2 FROM supplier WHERE s_acctbal > 2000 AND s_nationkey IN (1, 2, 3, 4)",
+    "store_snapshots": "SELECT n_nationkey::BIGINT AS n_nationkey, lower(n_name) AS n_name, 'now' AS at FROM nation WHERE n_regionkey < 4 UNION ALL SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN lower(n_name) ELSE n_name END, 'then' FROM nation",
+    "backup_restored": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey <> 2",
+    "load_update": "SELECT * FROM (VALUES ('a', 'A', 1::BIGINT), ('b', 'B', 7)) t(_id, sku, qty)",
+    "import_csv": "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "custom_stage": "SELECT o_orderstatus, round(min(o_totalprice), 2) AS least FROM orders WHERE o_totalprice > 5000 GROUP BY 1",
     "stream_tumbling": "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sessions": "SELECT epoch_us(min(ts)) // 1000 AS start_ms, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 
@@ -93,14 +94,20 @@ class Engine:
             raise PlanFault("this engine has no store to write to")
         return write(self, pipelines)
 
+    def state(self) -> tuple:
+        """The store's generation, and the state of the tables read since ``catalog.touched`` was emptied."""
+        return self.store.generation() if self.store else 0, *sorted(self.catalog.touched.items())
+
     def cached(self, text: str, params: dict | None = None) -> DataFrame:
-        """The result kept in memory while the store's generation stays the same."""
-        key = (text, tuple(sorted((params or {}).items())), self.store.generation() if self.store else 0)
-        if key not in self._cache:
-            for old in [k for k in self._cache if k[2] != key[2]]:
-                self._cache.pop(old).unpersist()
-            self._cache[key] = self.query(text, params).persist()
-        return self._cache[key]
+        """The result kept in memory while the store and the tables that it reads stay the same."""
+        self.catalog.touched = {}
+        out = self.query(text, params)
+        key, state = (text, json.dumps(params or {}, sort_keys=True, default=str)), self.state()
+        if key not in self._cache or self._cache[key][0] != state:
+            if key in self._cache:
+                self._cache.pop(key)[1].unpersist()
+            self._cache[key] = (state, out.persist())
+        return self._cache[key][1]
 
     def explain(self, text: str, params: dict | None = None) -> DataFrame:
         """One row: collection, access, read_only, mode, executor, operators, plan."""

@@ -17,9 +17,12 @@ from pyspark.sql import types as T
 from sluice.errors import PlanFault
 from sluice.operators.frame import HIDDEN, Frame
 from sluice.plans.compiler import compiled, quoted
-from sluice.plans.expression import Bin, Call, Path, paths
+from sluice.plans.expression import Bin, Call, Lit, Path, paths, rebuilt
 from sluice.plans.parser import Stage, conjoined, conjuncts, expressions
 
+#: Rows of a lookup without any condition on the outer row, at most: each outer row gets all of them.
+KEYLESS = 100_000
+
 #: Stages of a sub-pipeline that need no rows but their own.
 ROW_LOCAL = ("where", "select", "derive", "rename", "drop", "near", "unwind", "root")
 
@@ -85,7 +88,8 @@ def lookup(f: Frame, args: dict, inner: Frame, run, later: list[Stage]) -> tuple
     reads = outer_reads(body, aliases)
     if not reads and (equal or not stages or stages[0].name != "where" or rest or body):
         return _keyed(own, f, inner, equal, body, into, run, later)
-    return _correlated(own, f, inner, stages, aliases, into, run), 0
+    found = _nearest(own, f, inner, stages, aliases, into, run)
+    return (found if found is not None else _correlated(own, f, inner, stages, aliases, into, run)), 0
 
 
 def _outer_value(own: Frame, e):
@@ -128,9 +132,16 @@ def _keyed(own: Frame, f: Frame, inner: Frame, equal, body, into, run, later):
             return done
     t = T.StructType([sub.schema[c] for c in sub.visible()])
     order = sub.ordering()
+    if keys and _length_only(into, later):
+        n = f"{HIDDEN}n"
+        counted = sub.df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).cast("int").alias(n))
+        joined = outer_df.join(counted, match(), "left")
+        return f.of(joined.select(*map(quoted, names), F.array_repeat(F.lit(True), F.coalesce(n, F.lit(0))).alias(into))), 0
     if not keys:
-        packed = _packed(sub, (), into, order)
-        joined = outer_df.join(packed, F.lit(True), "left")
+        bounded = replace(sub, df=sub.df.limit(KEYLESS + 1))
+        packed = _packed(bounded, (), into, order)
+        few = F.when(F.size(into) <= KEYLESS, F.col(quoted(into))).otherwise(F.raise_error(F.lit(f"lookup: without a key at most {KEYLESS} rows are joined")).cast(T.ArrayType(t)))
+        joined = outer_df.join(packed.select(few.alias(into)), F.lit(True), "left")
     else:
         packed = _packed(sub, keys, into, order)
         joined = outer_df.join(packed.withColumnRenamed(into, f"{HIDDEN}into"), match(), "left")
@@ -145,9 +156,11 @@ def _is_optional(e) -> bool:
 
 def _packed(sub: Frame, keys, into: str, order):
     """One row a key with its rows as an array, in their order."""
+    rank = sub.rank()
+    if rank is not None:
+        packed = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), _rows(sub).alias("r")))), lambda x: x["r"])
+        return sub.df.groupBy(*map(quoted, keys)).agg(packed.alias(into))
     if order:
-
-
         rank = F.row_number().over(Window.partitionBy(*map(quoted, keys)).orderBy(*order))
         ranked = sub.df.withColumn(f"{HIDDEN}ord", rank)
         packed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(f"{HIDDEN}ord").alias("o"), _rows(sub).alias("r")))), lambda x: x["r"])
@@ -182,6 +195,19 @@ def _length_test(e, into: str) -> str | None:
     return None
 
 
+def _length_only(into: str, stages: list[Stage]) -> bool:
+    """Whether only the array's length is read before it is left behind: then its rows are counted, not gathered."""
+    for s in stages:
+        if s.name == "drop" and any(p.parts == (into,) for p in s.args["paths"]):
+            return True
+        length = lambda e: Lit(0) if isinstance(e, Call) and e.name == "len" and len(e.args) == 1 and isinstance(e.args[0], Path) and e.args[0].parts[-1] == into else e
+        if any(into in p.parts[:2] for e in expressions([s]) for p in paths(rebuilt(e, length))):
+            return False
+        if s.name in ("select", "group", "count", "bucket", "pivot"):
+            return True
+    return False
+
+
 def _unused(into: str, stages: list[Stage]) -> bool:
     """Whether the array is dropped, or left behind by a projection, before anything reads it."""
     for s in stages:
@@ -194,6 +220,61 @@ def _unused(into: str, stages: list[Stage]) -> bool:
     return False
 
 
+def _nearest(own: Frame, f: Frame, inner: Frame, stages, aliases, into, run) -> Frame | None:
+    """``where <equalities> and t <= o.t | sort t desc, ... | first``: the row just before (or after) each outer row.
+
+    Both sides lie in one order within a key, and each outer row takes the last inner row that comes before it: linear in the rows of
+    a key, where a join would pair all earlier ones. None for any other sub-pipeline.
+    """
+    if len(stages) < 3 or [s.name for s in stages[:2]] != ["where", "sort"]:
+        return None
+    last = stages[2]
+    if not (last.name == "first" and last.args["path"] is None or last.name == "limit" and last.args["n"] == Lit(1)):
+        return None
+    keys, bound = [], []
+    for c in conjuncts(stages[0].args["predicate"]):
+        if not isinstance(c, Bin) or c.op not in ("==", "<", "<=", ">", ">="):
+            return None
+        a, b, op = c.left, c.right, c.op
+        if (_side(a, inner.alias, aliases), _side(b, inner.alias, aliases)) == ("outer", "inner"):
+            a, b, op = b, a, {"==": "==", "<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+        if (_side(a, inner.alias, aliases), _side(b, inner.alias, aliases)) != ("inner", "outer"):
+            return None
+        (keys if op == "==" else bound).append((a, b, op))
+    order = stages[1].args["keys"]
+    own_path = lambda e: e.parts[1:] if len(e.parts) > 1 and e.parts[0] == inner.alias else e.parts
+    if len(bound) != 1 or not isinstance(bound[0][0], Path) or not isinstance(order[0]["expr"], Path) or own_path(order[0]["expr"]) != own_path(bound[0][0]):
+        return None
+    op = bound[0][2]
+    if order[0]["desc"] != (op in ("<", "<=")) or outer_reads([*stages[1:]], aliases):
+        return None
+    pairs = [(compiled(_optional(a), inner.scope), compiled(_optional(b), own.scope)) for a, b, _ in [*keys, *bound]]
+    if any(x.type != y.type or x.kind == "null" for x, y in pairs):
+        return None
+    level = len(f.hidden())
+    names = [f"{HIDDEN}q{level}_{i}" for i in range(len(pairs))]
+    held, t = f"{HIDDEN}near", names[-1]
+    there = inner.of(inner.df.withColumns({n: x.col for n, (x, _) in zip(names, pairs, strict=True)}).filter(F.col(t).isNotNull()), per=tuple(names))
+    tied = [Stage("sort", {"keys": order[1:]})] if len(order) > 1 else []
+    there = run(there, [*tied, Stage("limit", {"n": Lit(1)})])
+    outer_df = f.df.withColumns({n: y.col for n, (_, y) in zip(names, pairs, strict=True)})
+    asked = outer_df.select(*names).filter(F.col(t).isNotNull()).distinct()
+    row = F.struct(*map(quoted, inner.df.columns))
+    strict = op in ("<", ">")
+    events = there.df.select(*names, row.alias(held), F.lit(int(strict)).alias("side")).unionByName(asked.withColumn("side", F.lit(int(not strict))), allowMissingColumns=True)
+    along = Window.partitionBy(*names[:-1]).orderBy(F.col(t).asc() if op in ("<", "<=") else F.col(t).desc(), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = events.withColumn(held, F.last(held, ignorenulls=True).over(along)).filter((F.col("side") == int(not strict)) & F.col(held).isNotNull())
+    sub = run(replace(inner, df=found.select(*names, f"{held}.*"), per=tuple(names), order=()), stages[3:])
+    packed = _packed(sub, tuple(names), into, [])
+    right = packed.select(*[F.col(n).alias(f"{n}r") for n in names], F.col(quoted(into)).alias(f"{HIDDEN}into"))
+    match = F.lit(True)
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"{n}r"))
+    kept = [c for c in f.df.columns if c != into]
+    empty = _empty(T.StructType([sub.schema[c] for c in sub.visible()]))
+    return f.of(outer_df.join(right, match, "left").select(*map(quoted, kept), F.coalesce(F.col(f"{HIDDEN}into"), empty).alias(into)))
+
+
 def _correlated(own: Frame, f: Frame, inner: Frame, stages, aliases, into, run) -> Frame:
     """The distinct outer values that the sub-pipeline reads, joined to the collection; then by these values back to the rows."""
     reads = outer_reads(stages, aliases)
@@ -218,10 +299,13 @@ def _correlated(own: Frame, f: Frame, inner: Frame, stages, aliases, into, run)
             if isinstance(c, Call) and c.name == "starts_with" and drop_prefix is None:
                 sides = _side(c.args[0], inner.alias, aliases), _side(c.args[1], inner.alias, aliases)
                 if sides == ("outer", "inner"):
-                    # Every prefix of the outer text is an equality: no pair is compared that does not match.
+                    # Each prefix of the outer text, of a length that there is, is an equality: no pair is compared that does not match.
                     text = compiled(_optional(c.args[0]), scope).col.cast("string")
+                    prefix = compiled(c.args[1], inner.scope).col
+                    lengths = inner.df.agg(F.sort_array(F.collect_set(F.char_length(prefix)))).scalar()
                     drop_prefix = f"{HIDDEN}p{level}"
-                    keys = keys.withColumn(drop_prefix, F.explode(F.transform(F.sequence(F.lit(0), F.char_length(text)), lambda i: F.substring(text, F.lit(1), i))))
+                    fitting = F.filter(drop_prefix, lambda n: n <= F.char_length(text))
+                    keys = keys.withColumn(drop_prefix, lengths).withColumn(drop_prefix, F.explode(F.transform(fitting, lambda n: F.substring(text, F.lit(1), n))))
                     condition = condition & (F.col(drop_prefix) == compiled(c.args[1], scope).col)
                     continue
             p = compiled(c, scope)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from sluice.plans.compiler import Scope, quoted
 
 #: Hidden columns begin with this.
-HIDDEN = "__"
+HIDDEN = "__s_"
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class Frame:
     outer: dict = field(default_factory=dict)
     outer_aliases: frozenset = frozenset()
     sorted: bool = False
+    scattered: bool = False  # rows have an order but no longer stand in it
 
     @property
     def schema(self) -> T.StructType:
@@ -45,6 +46,31 @@ class Frame:
     def of(self, df: DataFrame, **changes) -> Frame:
         return replace(self, df=df, **changes)
 
+    def rank(self) -> Column | None:
+        """A value that rises along the frame's order, for ``min_by`` and ``max_by``; None without an order, or one that no value tells."""
+        parts = []
+        for name, desc in self.order:
+            c, t = F.col(quoted(name)), self.df.schema[name].dataType
+            if not desc:
+                parts.append(c)
+                continue
+            if isinstance(t, T.IntegralType):
+                down = F.bitwise_not(c)
+            elif isinstance(t, T.NumericType):
+                down = -c
+            elif isinstance(t, T.BooleanType):
+                down = ~c
+            elif isinstance(t, T.TimestampNTZType):
+                down = -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+            elif isinstance(t, T.TimestampType):
+                down = -F.unix_micros(c)
+            elif isinstance(t, T.DateType):
+                down = -F.unix_date(c)
+            else:
+                return None
+            parts += [c.isNull(), down]
+        return F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)]) if parts else None
+
     def ordering(self) -> list[Column]:
         """Sort expressions for the frame's order, or for the byte order of group keys."""
         if self.order:

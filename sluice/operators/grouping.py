@@ -17,6 +17,9 @@ from sluice.plans.parser import last
 #: Measures whose result depends on the order of rows.
 ORDERED = ("first", "last", "list")
 
+#: Columns that a pivot may make: their labels come to the driver.
+LABELS = 10_000
+
 
 def _key(item, f: Frame) -> tuple[str, Val]:
     e = item["expr"]
@@ -46,6 +49,14 @@ def _counting() -> dict:
     return {"fn": "count", "expr": None, "by": None, "where": None, "fraction": None, "alias": "count"}
 
 
+def _ranked(f: Frame, rank: str, keys: list):
+    """The frame's rows with a value that tells their order within a group; only an order that no value tells needs a window."""
+    found, order = f.rank(), f.ordering()
+    if found is None:
+        found = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) if order else F.monotonically_increasing_id()
+    return f.df.withColumn(rank, found)
+
+
 def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Frame:
     """Keys and measures. First, last and list follow the input's order, which a rank within each group carries."""
     per = list(f.per)
@@ -57,11 +68,7 @@ def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Fr
     rank = None
     if any(m["fn"] in ORDERED for m in measures):
         rank = f"{HIDDEN}ord"
-        order = f.of(df).ordering()
-        if not order:
-            df = df.withColumn(rank, F.monotonically_increasing_id())
-        else:
-            df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*map(quoted, per), *hold).orderBy(*order)))
+        df = _ranked(f.of(df), rank, [*map(quoted, per), *hold])
     columns = [measure(m, scope, rank).alias(m["alias"]) for m in measures]
     grouped = df.groupBy(*map(quoted, per), *hold).agg(*columns)
     out = [F.col(quoted(p)) for p in per]
@@ -74,7 +81,7 @@ def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Fr
             out.append(F.col(f"{HIDDEN}k{i}").alias(n))
     out += [rowlocal._object(v).alias(n) for n, v in nested.items()]
     out += [F.col(quoted(m["alias"])) for m in measures]
-    return f.of(grouped.select(*out), order=(), keys=tuple(n for n, _ in named if "." not in n), sorted=False)
+    return f.of(grouped.select(*out), order=(), keys=tuple(n for n, _ in named if "." not in n), sorted=False, scattered=False)
 
 
 def measure(m: dict, scope, rank: str | None):
@@ -141,9 +148,10 @@ def pivot(f: Frame, args: dict) -> Frame:
     rank = None
     if args["aggregate"] in ORDERED:
         rank = f"{HIDDEN}ord"
-        order = f.of(df).ordering()
-        df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*hold, label).orderBy(*order)) if order else F.monotonically_increasing_id())
-    names = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+        df = _ranked(f.of(df), rank, [*hold, label])
+    names = sorted(r[0] for r in df.select(label).distinct().limit(LABELS + 1).collect())
+    if len(names) > LABELS:
+        raise PlanFault(f"pivot: more than {LABELS} columns")
     scope = f.of(df).scope
     columns = []
     for m in measures:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from sluice.errors import PlanFault
@@ -9,7 +11,7 @@ from sluice.operators import combining, grouping, ordering, rowlocal, windows
 from sluice.operators.frame import HIDDEN, Frame
 from sluice.operators.registry import CUSTOM
 from sluice.plans.compiler import quoted
-from sluice.plans.parser import WRITES, Pipeline, Stage
+from sluice.plans.parser import WRITES, Pipeline, Source, Stage
 
 _LOCAL = {"where": rowlocal.where, "derive": rowlocal.derive, "select": rowlocal.select, "rename": rowlocal.rename, "drop": rowlocal.drop, "root": rowlocal.root, "near": rowlocal.near, "unwind": rowlocal.unwind}
 _BLOCKING = {"limit": ordering.limit, "skip": ordering.skip, "first": ordering.first, "single": ordering.single, "distinct": ordering.distinct, "count": ordering.count, "bucket": grouping.bucket, "window": windows.window}
@@ -34,10 +36,26 @@ class Planner:
 
     def __init__(self, catalog, seed: int | None = None):
         self.catalog, self.seed = catalog, seed
+        self.moment = None  # the past state that all collections of the query are read at
+
+    @contextmanager
+    def reading(self, source: Source):
+        """``as of`` of a query's source holds for every collection that it reads."""
+        held = self.moment
+        if source.as_of is not None:
+            self.moment = source.as_of
+        try:
+            yield
+        finally:
+            self.moment = held
 
     def plan(self, p: Pipeline) -> Frame:
         if p.source is None:
             raise PlanFault("a query begins with 'on <collection>'")
+        with self.reading(p.source):
+            return self._planned(p)
+
+    def _planned(self, p: Pipeline) -> Frame:
         frame = self.source(p.source, _needs_order(p.stages))
         reads = [s for s in p.stages if s.name not in WRITES]
         for s in p.stages[:-1]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.errors import PlanFault
 from sluice.functions import scalar
 from sluice.functions.values import lit, stamp
-from sluice.operators.frame import Frame
+from sluice.operators.frame import HIDDEN, Frame
 from sluice.operators.rowlocal import put, stripped
 from sluice.plans.compiler import compiled, constant, quoted
 from sluice.plans.expression import Path
@@ -55,16 +55,16 @@ def fill(f: Frame, args: dict) -> Frame:
     v = compiled(args["path"], f.scope)
     by = [(stripped(p, f.alias, f.df.columns), compiled(p, f.scope)) for p in args["by"]]
     grid = _grid(start, stop, step, v)
-    hold = {f"__b{i}": b.col for i, (_, b) in enumerate(by)}
+    hold = {f"__s_b{i}": b.col for i, (_, b) in enumerate(by)}
     df = f.df.withColumns(hold) if hold else f.df
-    parts = df.select(*hold).distinct() if hold else df.limit(1).select(F.lit(1).alias("__one"))
-    wanted = parts.withColumn("__v", F.explode(grid))
-    have = df.select(*[F.col(h).alias(f"{h}h") for h in hold], v.col.cast(wanted.schema["__v"].dataType).alias("__vh"))
-    same = F.col("__v").eqNullSafe(F.col("__vh"))
+    parts = df.select(*hold).distinct() if hold else df.limit(1).select(F.lit(1).alias("__s_one"))
+    wanted = parts.withColumn("__s_v", F.explode(grid))
+    have = df.select(*[F.col(h).alias(f"{h}h") for h in hold], v.col.cast(wanted.schema["__s_v"].dataType).alias("__s_vh"))
+    same = F.col("__s_v").eqNullSafe(F.col("__s_vh"))
     for h in hold:
         same = same & F.col(h).eqNullSafe(F.col(f"{h}h"))
     new = wanted.join(have, same, "left_anti")
-    new = put(new, name, type(v)(F.col("__v").cast(v.type), v.type))
+    new = put(new, name, type(v)(F.col("__s_v").cast(v.type), v.type))
     for (target, b), h in zip(by, hold, strict=True):
         new = put(new, target, type(b)(F.col(h), b.type))
     for target, e in args["with"]:
@@ -72,7 +72,7 @@ def fill(f: Frame, args: dict) -> Frame:
         value = compiled(e, f.scope)
         held = f.scope.find(Path(parts_))
         new = put(new, parts_, type(value)(value.col.cast(held.type), held.type) if held is not None else value)
-    new = new.select(*[c for c in new.columns if not c.startswith("__")])
+    new = new.select(*[c for c in new.columns if not c.startswith(HIDDEN)])
     out = f.df.select(*map(quoted, f.visible())).unionByName(new, allowMissingColumns=True)
     scope = f.of(out).scope
     order = [compiled(Path(t), scope).col.asc_nulls_first() for t, _ in by] + [compiled(Path(name), scope).col.asc_nulls_first()]

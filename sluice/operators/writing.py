@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.errors import PlanFault, WriteConflict
 from sluice.operators import rowlocal
-from sluice.operators.frame import Frame
+from sluice.operators.frame import HIDDEN, Frame
 from sluice.plans.compiler import compiled, constant, quoted
 from sluice.sources.catalog import literal_rows
 
@@ -63,7 +63,10 @@ def _changes(engine, p):
         return
     if p.source.kind != "collection":
         raise PlanFault(f"{stage.name} needs a collection")
-    frame = engine.planner.run(engine.planner.source(p.source), p.stages[:-1])
+    if (p.source.history or p.source.as_of is not None) and stage.name != "into":
+        raise PlanFault(f"{stage.name} cannot write to the past")
+    with engine.planner.reading(p.source):
+        frame = engine.planner.run(engine.planner.source(p.source), p.stages[:-1])
     if stage.name == "into":
         if target == p.source.name:
             raise PlanFault("into: the target is the source")
@@ -72,7 +75,7 @@ def _changes(engine, p):
         return
     if "_id" not in frame.visible():
         raise PlanFault(f"{stage.name} needs stored documents")
-    version = F.coalesce(F.col("__version"), F.lit(0)) + 1 if "__version" in frame.df.columns else F.lit(1)
+    version = F.coalesce(F.col("__s_version"), F.lit(0)) + 1 if "__s_version" in frame.df.columns else F.lit(1)
     if stage.name == "delete":
         df = frame.df.select(F.lit("delete").alias("_op"), F.col("_id").alias("_doc_id"), version.cast("long").alias("_version"))
         yield target, df.persist(), {"deleted": F.lit(True)}
@@ -89,12 +92,12 @@ def _set(frame: Frame, stage, version):
     df, hold = frame.df, []
     for i, (target, e) in enumerate(stage.args["assign"]):
         v = compiled(e, frame.scope)
-        name = f"__new{i}"
+        name = f"__s_new{i}"
         df = df.withColumn(name, v.col.cast("string") if v.kind == "null" else v.col)
         hold.append((rowlocal.stripped(target, frame.alias, frame.df.columns), replace(v, col=F.col(name))))
     for parts, v in hold:
         df = rowlocal.put(df, parts, v)
-    own = [c for c in df.columns if not c.startswith("__") and c != "_id"]
+    own = [c for c in df.columns if not c.startswith(HIDDEN) and c != "_id"]
     return df.select(F.lit("replace").alias("_op"), F.col("_id").alias("_doc_id"), version.cast("long").alias("_version"), *map(quoted, own))
 
 
@@ -106,15 +109,15 @@ def _documents(engine, target: str, stage):
     if len(set(ids)) < len(ids):
         raise PlanFault(f"{stage.name}: an _id appears twice")
     mode = "insert" if stage.name == "insert" else stage.args["mode"]
-    df = literal_rows(engine.spark, [{k: v for k, v in r.items() if k != "_id"} | {"__given": r.get("_id")} for r in rows])
-    df = df.withColumn("_doc_id", F.coalesce("__given", F.uuid())).drop("__given").persist()
+    df = literal_rows(engine.spark, [{k: v for k, v in r.items() if k != "_id"} | {"__s_given": r.get("_id")} for r in rows])
+    df = df.withColumn("_doc_id", F.coalesce("__s_given", F.uuid())).drop("__s_given").persist()
     own = [c for c in df.columns if c != "_doc_id"]
     if engine.store.has(target):
-        old = engine.store.current(target).select(F.col("_id").alias("_doc_id"), F.col("__version").alias("__v"), F.struct("*").alias("__old"))
+        old = engine.store.current(target).select(F.col("_id").alias("_doc_id"), F.col("__s_version").alias("__s_v"), F.struct("*").alias("__s_old"))
         joined = df.join(old, "_doc_id", "left")
     else:
-        joined = df.withColumn("__v", F.lit(None).cast("long")).withColumn("__old", F.lit(None).cast("struct<_id:string>"))
-    there = F.col("__v").isNotNull()
+        joined = df.withColumn("__s_v", F.lit(None).cast("long")).withColumn("__s_old", F.lit(None).cast("struct<_id:string>"))
+    there = F.col("__s_v").isNotNull()
     if mode == "insert" and joined.filter(there).limit(1).count():
         raise PlanFault("insert: a document with this _id exists")
     if mode == "update" and joined.filter(~there).limit(1).count():
@@ -122,11 +125,11 @@ def _documents(engine, target: str, stage):
     fields = own
     columns = {c: F.col(quoted(c)) for c in own}
     if mode in ("merge", "update"):
-        old_fields = [f for f in joined.schema["__old"].dataType.fields if f.name not in ("_id", "__version")]
+        old_fields = [f for f in joined.schema["__s_old"].dataType.fields if f.name not in ("_id", "__s_version")]
         fields = list(dict.fromkeys([*own, *(f.name for f in old_fields)]))
         for f in old_fields:
-            kept = F.col(f"__old.{quoted(f.name)}")
+            kept = F.col(f"__s_old.{quoted(f.name)}")
             columns[f.name] = F.coalesce(columns[f.name], kept.cast(df.schema[f.name].dataType)) if f.name in own else kept
     op = F.when(there, "replace").otherwise("insert")
-    out = joined.select(op.alias("_op"), "_doc_id", (F.coalesce("__v", F.lit(0)) + 1).cast("long").alias("_version"), *[columns[c].alias(c) for c in fields])
+    out = joined.select(op.alias("_op"), "_doc_id", (F.coalesce("__s_v", F.lit(0)) + 1).cast("long").alias("_version"), *[columns[c].alias(c) for c in fields])
     yield target, out.persist(), {"inserted": F.col("_op") == "insert", "replaced": F.col("_op") == "replace"}

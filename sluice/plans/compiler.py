@@ -124,6 +124,11 @@ def _call(e: Call, scope: Scope) -> Val:
     if e.name == "bucket":
         default = compiled(e.args[2], scope) if len(e.args) > 2 else lit(None)
         return scalar.bucket_of(compiled(e.args[0], scope), constant(e.args[1], "bucket"), default)
+    if e.name == "len" and isinstance(e.args[0], Call) and e.args[0].name == "split" and len(e.args[0].args) == 2:
+        text, by = (compiled(a, scope) for a in e.args[0].args)
+        if by.is_const and isinstance(by.const, str) and by.const and text.kind == "string":  # counted without making the parts
+            without = F.char_length(F.replace(text.col, by.col, F.lit("")))
+            return Val((F.lit(1) + (F.char_length(text.col) - without) / len(by.const)).cast("long"), LONG)
     args = [compiled(a, scope) for a in e.args]
     if e.name == "coalesce":
         args = [a for a in args if a.kind != "null"] or [lit(None)]

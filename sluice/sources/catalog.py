@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from sluice.errors import PlanFault
 from sluice.operators.frame import Frame
 from sluice.plans.compiler import constant
-from sluice.plans.parser import Pipeline, Source
+from sluice.plans.parser import Source
 
 
 def literal_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -26,7 +28,7 @@ def _type(values: list) -> T.DataType:
     if all(isinstance(v, bool) for v in values):
         return T.BooleanType()
     if all(isinstance(v, int) and not isinstance(v, bool) for v in values):
-        return T.LongType()
+        return T.LongType() if all(-(1 << 63) <= v < 1 << 63 for v in values) else T.DecimalType(20, 0)
     if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
         return T.DoubleType()
     if all(isinstance(v, list) for v in values):
@@ -42,6 +44,8 @@ def _fit(v, t: T.DataType):
         return None
     if isinstance(t, T.DoubleType):
         return float(v)
+    if isinstance(t, T.DecimalType):
+        return Decimal(v)
     if isinstance(t, T.ArrayType):
         return [_fit(x, t.elementType) for x in v]
     if isinstance(t, T.StructType):
@@ -58,17 +62,22 @@ class Catalog:
         self.views = None
         self.system: dict = {}
         self.scope: dict[str, object] = {}
-        self._read: dict[str, DataFrame] = {}
+        self._read: dict[str, tuple[tuple, DataFrame]] = {}
+        self.touched: dict[str, tuple] = {}  # tables read, and the state of their files
 
     def source(self, spec: Source, planner) -> Frame:
         if spec.kind == "values":
             return Frame(literal_rows(self.spark, [constant(r, "values") for r in spec.rows]), spec.alias)
         if spec.kind == "view":
             return self._view(spec, planner)
-        if spec.history or spec.as_of is not None:
-            if self.store is None or not self.store.has(spec.name):
-                raise PlanFault(f"{spec.name} keeps no history")
-            df = self.store.history(spec.name) if spec.history else self.store.as_of(spec.name, spec.as_of)
+        stored = self.store is not None and self.store.has(spec.name)
+        if (spec.history or spec.as_of is not None) and not stored:
+            raise PlanFault(f"{spec.name} keeps no history")
+        moment = planner.moment if spec.as_of is None else spec.as_of
+        if spec.history:
+            df = self.store.history(spec.name)
+        elif stored and moment is not None:
+            df = self.store.as_of(spec.name, moment)
         else:
             df = self.table(spec.name)
         return Frame(self._scoped(df), spec.alias)
@@ -88,22 +97,27 @@ class Catalog:
         if self.store is not None and self.store.has(name):
             return self.store.current(name)
         if self.root is not None:
-            if name not in self._read:
-                path = f"{self.root}/{name}.parquet"
-                if not self._exists(path):
-                    return self.spark.createDataFrame([], T.StructType([]))
-                self._read[name] = self.spark.read.parquet(path)
-            return self._read[name]
+            path = f"{self.root}/{name}.parquet"
+            state = self._state(path)
+            if state is None:
+                return self.spark.createDataFrame([], T.StructType([]))
+            if name not in self._read or self._read[name][0] != state:
+                self._read[name] = (state, self.spark.read.parquet(path))
+            self.touched[path] = state
+            return self._read[name][1]
         return self.spark.createDataFrame([], T.StructType([]))
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    def _state(self, path: str) -> tuple | None:
+        """What changes when a table's files change; None where there is none."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return None
+        content = fs.getContentSummary(p)
+        return content.getLength(), content.getFileCount(), fs.getFileStatus(p).getModificationTime()
 
     def _view(self, spec: Source, planner) -> Frame:
         if self.views is None:
             raise PlanFault(f"unknown view {spec.name!r}")
-        pipeline: Pipeline = self.views.expanded(spec.name, spec.version)
-        frame = self.views.materialized(spec.name, spec.version) or planner.plan(pipeline)
+        frame = self.views.frame(spec, planner)
         return Frame(frame.df.select(*[F.col(f"`{c}`") for c in frame.visible()]), spec.alias)
