@@ -25,12 +25,12 @@ HEADLINE = (
 def sized(spark) -> dict:
     """The published measurements at their own sizes: a group and an import of 2 M rows, a view with a pushed filter over 1.8 M, a search."""
     folder = f"file://{tempfile.mkdtemp(prefix='bench-')}"
-    made = spark.range(2_000_000).selectExpr("id", "concat('k', id % 40) as code", "id % 7 as qty", "(id % 13) * 1.5 as price", "concat(1 + id % 12, '-2025') as period", "id % 1000 as entity", "md5(id) as note")
+    made = spark.range(2_000_000).selectExpr("id", "concat('k', id % 40) as code", "id % 7 as qty", "(id % 13) * 1.5D as price", "concat(1 + id % 12, '-2025') as period", "id % 1000 as entity", "md5(cast(id as string)) as note")
     made.coalesce(8).write.parquet(f"{folder}/sales.parquet")
     made.coalesce(8).write.option("header", "true").csv(f"{folder}/sales.csv")
     engine = Engine(spark, folder)
     engine.query("define view statement | exec | on sales | where id < 1800000 | derive total = price * qty | end | end")
-    texts = spark.range(180_000).selectExpr("id", "concat_ws(' ', md5(id), concat('item', id % 5000), concat('place', id % 300)) as text")
+    texts = spark.range(180_000).selectExpr("id", "concat_ws(' ', md5(cast(id as string)), concat('item', id % 5000), concat('place', id % 300)) as text")
     search.index(texts, "id", "text").write.parquet(f"{folder}/words.parquet")
     words = spark.read.parquet(f"{folder}/words.parquet")
     return {

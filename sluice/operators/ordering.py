@@ -48,17 +48,6 @@ def arranged(f: Frame) -> Frame:
     return f
 
 
-def firsts(f: Frame, keys: list[str]) -> Frame | None:
-    """The first row of each key by partial aggregation, which no hot key slows; None where the order needs a window."""
-    rank = f.rank()
-    if rank is None and f.ordering():
-        return None
-    row = F.struct(*map(quoted, f.df.columns))
-    picked = F.first(row) if rank is None else F.min_by(row, rank)
-    held = f"{HIDDEN}row"
-    return f.of(f.df.groupBy(*map(quoted, keys)).agg(picked.alias(held)).select(f"{held}.*"))
-
-
 def ranked(f: Frame, name: str) -> Frame:
     """Numbers rows from 1 for each outer row of a lookup."""
     order = f.ordering() or [F.lit(0)]
@@ -69,8 +58,6 @@ def ranked(f: Frame, name: str) -> Frame:
 def limit(f: Frame, args: dict) -> Frame:
     n = _count(args, "limit")
     if f.per:
-        if n == 1 and (found := firsts(f, list(f.per))) is not None:
-            return found
         r = ranked(f, f"{HIDDEN}rank")
         return r.of(r.df.filter(F.col(f"{HIDDEN}rank") <= n).drop(f"{HIDDEN}rank"))
     f = arranged(f)
@@ -115,15 +102,14 @@ def sample(f: Frame, args: dict, seed: int | None) -> Frame:
 
 
 def distinct(f: Frame, args: dict) -> Frame:
-    """Whole rows, or the first full row of each key in the input's order."""
+    """Whole rows, or the first full row of each key in the input's order.
+
+    Spark passes on one row a key and task (WindowGroupLimit), so a hot key is small when it is shuffled.
+    """
     if not args["paths"]:
         names = [*f.visible(), *f.per]
         return f.of(f.df.select(*map(quoted, names)).distinct(), order=(), keys=(), sorted=False)
     keys = [compiled(Path(p.parts, True), f.scope).col for p in args["paths"]]
-    hold = {f"{HIDDEN}d{i}": k for i, k in enumerate(keys)}
-    found = firsts(f.of(f.df.withColumns(hold)), [*f.per, *hold])
-    if found is not None:
-        return found.of(found.df.drop(*hold), scattered=bool(f.order), sorted=False)
     w = Window.partitionBy(*map(quoted, f.per), *keys).orderBy(*(f.ordering() or [F.lit(0)]))
     rank = f"{HIDDEN}rank"
     return f.of(f.df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank), scattered=bool(f.order), sorted=False)
