@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,15 +39,26 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(name)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Gives a file of the driver's machine to all executors; ``SparkFiles.get`` of the name returned finds it there."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset (in tests) a new temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset and all run on this machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

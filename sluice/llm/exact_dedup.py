@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from sluice.llm.common import lower_ascii
+from sluice.llm.common import fresh, lower_ascii, written
 
 #: Runs at the leaves of the tree, and how many runs each round merges into one: 64 leaves take three rounds.
 RUNS, FAN_IN = 64, 4
@@ -59,7 +59,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", normalise=lower_ascii, i
     """
     better, order = (F.max, F.col("doc_id").desc_nulls_last()) if keep == "largest" else (F.min, F.col("doc_id").asc_nulls_last())
     key = ["digest", "n_bytes", "check"]
-    rows = digests(docs, normalise, id_col, text_col)
+    rows = written(digests(docs, normalise, id_col, text_col), "digests")
     leaves = rows.groupBy("run", *key).agg(better("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     root = merge_runs(leaves, better)
     answers = leaves.select("run", *key).join(root, key)
@@ -75,10 +75,10 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", normalise=lower_ascii, i
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lower_ascii) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; texts move at most once, and only the ids of kept rows with them."""
-    tagged = docs.withColumn("__digest", F.sha2(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
+    sha, kept_id, kept_sha, nth = fresh(docs, "sha", "kept_id", "kept_sha", "nth")
+    tagged = docs.withColumn(sha, F.sha2(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
     kept = exact_dedup(docs, id_col=id_col, text_col=text_col, normalise=normalise).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    repeated = Window.partitionBy(id_col, "__digest").orderBy(F.lit(0))
-    return joined.withColumn("__nth", F.row_number().over(repeated)).filter("__nth = 1").select(*docs.columns)
-
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    joined = tagged.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(kept_sha)), "left_semi")
+    repeated = Window.partitionBy(id_col, sha).orderBy(F.lit(0))
+    return joined.withColumn(nth, F.row_number().over(repeated)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import small_or_shuffled, written
 
-#: Ids that one block of neighbours spans, and how many blocks the next level puts together.
-BLOCK_IDS, BLOCKS = 512, 512
+#: Rows of a block of neighbours, on average, and how many blocks the next level puts together.
+BLOCK_ROWS, BLOCKS = 512, 512
 
 
 def canonical(text: Column) -> Column:
-    """Unicode compatibility composition, lower case, runs of white space as one space, none at the ends.
+    """Unicode compatibility composition, full case folding, runs of white space as one space, none at the ends.
 
-    ASCII is its own normal form, so only other texts go through the normaliser.
+    ASCII is its own normal form and folds to lower case, so only other texts go through the normaliser; again after they are folded.
     """
-    composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    normal = F.when(F.octet_length(text) == F.char_length(text), text).otherwise(composed)
-    return F.trim(F.regexp_replace(F.lower(normal), r"[\s\u0085  -     　]+", " "))
+    composed = lambda t: F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    folded = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    normal = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(composed(folded))
+    return F.trim(F.regexp_replace(normal, r"[\s\u0085  -     　]+", " "))
 
 
 def bucket(canon: Column) -> Column:
@@ -59,12 +62,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, next_text: the text of the document with the next smaller id; after the smallest comes the largest.
 
-    Documents are dealt into blocks of ids and each block is ordered by itself. Only a block's last row needs the first row of the
-    next block that has any; these first rows, one a block, are linked by the same rule one level up, and the last level has one
-    row for some hundred thousand ids. Rows that repeat an id follow one another.
+    Documents are dealt into blocks, equal ranges of ids that hold BLOCK_ROWS on average however wide the ids lie apart, and each block
+    is ordered by itself. Only a block's last row needs the first row of the next block that has any; these first rows, one a block,
+    are linked by the same rule one level up, and the last level has one row for some hundred thousand documents. Rows that repeat an
+    id follow one another. Rows without an id come last, in the order of their texts' hashes, in blocks of these.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.coalesce("doc_id", F.lit(-(1 << 62))) / BLOCK_IDS))
+    ids = rows.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("n")).first()
+    step = (ids["most"] - ids["least"]) // (ids["n"] // BLOCK_ROWS + 1) + 1 if ids["n"] else 1
+    below = math.floor((ids["least"] or 0) / step) - 1
+    unnamed = F.lit(below) - F.shiftright(F.xxhash64("text"), 52) - 2048
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / F.lit(float(step))), unnamed))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     within = Window.partitionBy("block").orderBy(*order)
     linked = rows.withColumn("next_in", F.lead("text").over(within)).withColumn("last", F.lead(F.lit(1)).over(within).isNull())
@@ -101,7 +109,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("canon") == F.col("next_canon")).cast("double").alias("near_next"),
     )
     scored = written(scored, "scored")
-    bad = small_or_shuffled(unconfirmed_buckets(docs, scored, id_col, text_col), 64).select("bucket", F.lit(1).alias("bad"))
+    # edited texts are nowhere kept, so in their buckets, which are hardly ever shared, it is SHA-256 that must agree
+    both = scored.select("bucket", "sha").union(scored.select("edited_bucket", "edited_sha")).groupBy("bucket").agg(F.min("sha").alias("low"), F.max("sha").alias("high"))
+    unconfirmed = unconfirmed_buckets(docs, scored, id_col, text_col).union(both.filter("low <> high").select("bucket")).distinct()
+    bad = small_or_shuffled(written(unconfirmed, "unconfirmed"), 64).select("bucket", F.lit(1).alias("bad"))
     joined = scored.join(bad, "bucket", "left").join(bad.select(F.col("bucket").alias("edited_bucket"), F.lit(1).alias("bad_edited")), "edited_bucket", "left")
     return joined.select(
         "doc_id",

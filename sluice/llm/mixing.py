@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BROADCAST_BYTES
+from sluice.llm.common import BROADCAST_BYTES, fresh
 
 #: A mean above this is drawn as a sum of independent draws, since exp(-mean) must not underflow.
 LARGEST_MEAN = 64.0
@@ -30,17 +30,17 @@ def _inverse_poisson(u, mean) -> F.Column:
 
 
 def source_means(docs: DataFrame, weights: dict[str, float] | None, target_rows: float | None, source_col: str) -> DataFrame:
-    """Per source: n_rows and the mean number of copies that makes its expected share its weight."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source")).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Per source (of): n_rows and the mean number of copies that makes its expected share its weight."""
+    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("of")).agg(F.count(F.lit(1)).alias("n_rows"))
     if weights is None:
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__source string, weight double")
-        counts = counts.join(F.broadcast(given), "__source", "left").fillna({"weight": 0.0})
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "of string, weight double")
+        counts = counts.join(F.broadcast(given), "of", "left").fillna({"weight": 0.0})
     total = counts.agg(F.sum("weight").alias("weight"), F.sum("n_rows").alias("rows")).first()
     rows = float(total["rows"] or 0) if target_rows is None else float(target_rows)
     mean = F.lit(rows) * F.col("weight") / F.lit(float(total["weight"])) / F.col("n_rows") if total["weight"] else F.lit(0.0)
-    return counts.select("__source", "n_rows", mean.alias("mean"))
+    return counts.select("of", "n_rows", mean.alias("mean"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: float | None = None, seed: int = 17, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -49,7 +49,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: f
     ``weights`` maps sources to shares (None: all sources alike; a source that is not named gets none); ``target_rows`` is the
     expected size (None: that of the input). A document's draw is seeded by its id, so reruns and other partitionings agree; rows
     that repeat an id repeat its draw. A null source counts as the empty one, a null id as the empty text. Weights of zero give
-    no rows. A column of the input that is called copy or shuffle_key is replaced. An empty table gives an empty result.
+    no rows. Columns of the input that are called copy or shuffle_key, in
+    any case, are replaced. An empty table gives an empty result.
 
     Only source counts are aggregated, with partial sums, so a source with a third of the rows is no hot key. The table of means
     is sent to all executors if its rows are few enough, else it is joined by a shuffle. Texts move once, already replicated, dealt
@@ -57,18 +58,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: f
     """
     means = source_means(docs, weights, target_rows, source_col)
     limit = BROADCAST_BYTES // 128
-    side = means.select("__source", "mean")
+    of, mean, n = fresh(docs, "of", "mean", "n")
+    side = means.select(F.col("of").alias(of), F.col("mean").alias(mean))
     side = F.broadcast(side) if means.limit(limit + 1).count() <= limit else side
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    parts = F.greatest(F.ceil(F.col("mean") / LARGEST_MEAN), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.col(mean) / LARGEST_MEAN), F.lit(1)).cast("int")
     drawn = F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0),
-        lambda acc, i: acc + _inverse_poisson(_uniform(seed, ident, i.cast("string")), F.col("mean") / parts),
+        lambda acc, i: acc + _inverse_poisson(_uniform(seed, ident, i.cast("string")), F.col(mean) / parts),
     )
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    joined = docs.select(*columns, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("__source")).join(side, "__source")
-    copies = joined.withColumn("__n", drawn).filter("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    columns = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    joined = docs.select(*columns, F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias(of)).join(side, of)
+    copies = joined.withColumn(n, drawn).filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col("copy").cast("string"))))
     return keyed.select(*columns, "copy", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

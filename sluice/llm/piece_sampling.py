@@ -8,18 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.llm.common import fresh, ship_file
+
 #: A piece of rank r weighs (r + RANK_SHIFT) ** -EXPONENT: merge vocabularies rank their pieces by frequency but give no probabilities.
 RANK_SHIFT, EXPONENT = 32.0, 1.0
 
 #: Log weight of one byte of a character that has no piece.
 BYTE_WEIGHT = -14.0
 
-#: Bytes of a lattice; longer runs without a space are cut at a character.
-LATTICE = 2048
+#: Bytes of a lattice that is held at once; longer runs without a space go block by block.
+LATTICE = 1 << 15
 
 #: Bytes of text that are sampled at once.
 AT_ONCE = 1 << 20
@@ -92,7 +95,8 @@ class Pieces:
 class Lattice:
     """All lattices of some distinct segments: forward weights, and for each end the edges with their cumulative shares."""
 
-    def __init__(self, pieces: Pieces, segments: list[bytes]):
+    def __init__(self, pieces: Pieces, segments: list[bytes], given: np.ndarray = np.zeros(1)):
+        """``given``: forward weights of a lone segment's first nodes, of which only the first is needed."""
         sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         raw = np.frombuffer(b"".join(segments), np.uint8)
         self.base = np.cumsum(sizes) - sizes  # of bytes; nodes have one more a segment
@@ -132,9 +136,10 @@ class Lattice:
         source, target = begin + offset, begin + offset + length
         forward = np.full(len(raw) + len(segments), -np.inf)
         forward[self.node0] = 0
+        forward[: len(given)] = given if len(segments) else 0
         share = np.empty(len(begin))
         cut = np.searchsorted(end, np.arange(1, int(sizes.max()) + 2)) if len(sizes) else [0]
-        for b, e in zip(cut[:-1], cut[1:], strict=True):
+        for b, e in list(zip(cut[:-1], cut[1:], strict=True))[len(given) - 1 :]:
             if b == e:
                 continue
             to = target[b:e]
@@ -151,15 +156,16 @@ class Lattice:
                 c -= np.repeat(c[first] - w[first], count)
                 share[b:e] = c / np.repeat(total, count)
             share[b:e][first + count - 1] = 2.0
+        self.forward = forward
         self.piece, self.length, self.share = piece.astype(np.int32), length.astype(np.int32), share
         self.edge = np.zeros(len(forward), np.int64)
         first = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.empty(0, np.int64)
         self.edge[target[first]] = first
 
-    def sample(self, segment: np.ndarray, size: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sample(self, segment: np.ndarray, size: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray, stop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(doc, end, piece) of sampled pieces, for occurrences of segments: ``at`` is where each begins, ``key`` seeds its draws.
 
-        Each step draws the last piece of every prefix that is left, by its share of the forward weight.
+        Each step draws the last piece of every prefix that is left, by its share of the forward weight, down to ``stop`` bytes.
         """
         docs, ends, found = [], [], []
         left = size.copy()
@@ -174,11 +180,36 @@ class Lattice:
             ends.append(at + left)
             found.append(self.piece[e])
             left = left - self.length[e]
-            go = left > 0
+            go = left > stop
             segment, left, at, key, doc = segment[go], left[go], at[go], key[go], doc[go]
         return np.concatenate(docs), np.concatenate(ends), np.concatenate(found)
 
 
+def sample_long(pieces: Pieces, raw: bytes, at: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, piece) of a segment of any length: what one lattice over it would give, with the memory of a block.
+
+    Forwards each block starts from the weights of the last nodes before it, as many as a piece is long; backwards each is made
+    again from these, and drawn from until a piece reaches into the block before.
+    """
+    held, given, begin = [], np.zeros(1), 0
+    while begin < len(raw):
+        end = min(len(raw), begin + LATTICE)
+        while end < len(raw) and (raw[end] & 0xC0) == 0x80:
+            end -= 1
+        low = begin - len(given) + 1
+        held.append((low, begin, end, given))
+        given = Lattice(pieces, [raw[low:end]], given).forward[max(0, end - pieces.longest) - low : end - low + 1]
+        begin = end
+    ends, found, left = [], [], len(raw)
+    for low, begin, end, given in reversed(held):
+        one = lambda x, kind=np.int64: np.array([x], kind)
+        _, e, p = Lattice(pieces, [raw[low:end]], given).sample(one(0), one(left - low), one(at + low), one(key, np.uint64), one(0), begin - low)
+        ends.append(e)
+        found.append(p)
+        left = int(e[-1]) - at - len(pieces.raw[p[-1]])
+    return np.concatenate(ends), np.concatenate(found)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -186,7 +217,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def segments_of(raw: bytes) -> list[bytes]:
-    """Cuts before each space that follows another character; longer segments are cut at characters."""
+    """Cuts before each space that follows another character."""
     out = []
     parts = raw.split(b" ")
     held = b""
@@ -197,17 +228,6 @@ def segments_of(raw: bytes) -> list[bytes]:
             held = b""
     if held:
         out.append(held)
-    if max(map(len, out), default=0) > LATTICE:
-        cut = []
-        for s in out:
-            while len(s) > LATTICE:
-                n = LATTICE
-                while n > LATTICE - 4 and (s[n] & 0xC0) == 0x80:
-                    n -= 1
-                cut.append(s[:n])
-                s = s[n:]
-            cut.append(s)
-        out = cut
     return out
 
 
@@ -222,7 +242,7 @@ def encode_batch(pieces: Pieces, texts: list[str], keys: list[int]) -> list[np.n
     if not of:
         return [np.empty(0, np.int32) for _ in texts]
     distinct = list(number)
-    lattice = Lattice(pieces, distinct)
+    lattice = Lattice(pieces, [s if len(s) <= LATTICE else b"" for s in distinct])
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
     segment = np.array(of, np.int64)
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -230,7 +250,13 @@ def encode_batch(pieces: Pieces, texts: list[str], keys: list[int]) -> list[np.n
     place = np.cumsum(size) - size
     first = np.cumsum(counts) - counts
     begin = place - np.repeat(place[np.minimum(first, len(place) - 1)], counts)
-    docs, ends, found = lattice.sample(segment, size, begin, np.array(keys, np.uint64)[doc], doc)
+    seeds = np.array(keys, np.uint64)[doc]
+    short = size <= LATTICE
+    drawn = [lattice.sample(segment[short], size[short], begin[short], seeds[short], doc[short])] if short.any() else []
+    for i in np.flatnonzero(~short):
+        ends, found = sample_long(pieces, distinct[segment[i]], int(begin[i]), int(seeds[i]))
+        drawn.append((np.full(len(ends), doc[i]), ends, found))
+    docs, ends, found = map(np.concatenate, zip(*drawn, strict=True))
     order = np.lexsort((ends, docs))
     return np.split(found[order], np.cumsum(np.bincount(docs, minlength=len(texts)))[:-1])
 
@@ -247,20 +273,22 @@ def loaded(path: str) -> Pieces:
 def sample_pieces(docs: DataFrame, model: str, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` without their text, then pieces (array of ids), n_pieces, decoded_sha256 and lossless.
 
-    Each whole text, with a space before it, is cut into lattices at its spaces; over each the forward weights of all its prefixes are
+    Each whole text, with a space before it, is cut into lattices at its spaces, where no piece crosses; over each, however long, the forward weights of all its prefixes are
     summed, and pieces are drawn from its end by their shares. A draw is seeded by the row's id (without one by the text), so any
     rerun gives the same pieces. Characters that no piece covers go byte by byte, also the sign that stands for a space in the
     vocabulary, so decoding gives back every text. A null or empty text has no pieces and decodes to the empty text. Columns that
     are called like the new ones are replaced; an empty table gives an empty result. One pass; a task holds a bounded piece of text.
     """
     new = ("pieces", "n_pieces", "decoded_sha256", "lossless")
-    columns = [c for c in docs.columns if c not in (*new, text_col)]
+    columns = [c for c in docs.columns if c.lower() not in (*new, text_col.lower())]
+    id_, t_ = fresh(docs, "id_to_seed", "text_to_cut")
+    name = ship_file(docs.sparkSession, model)
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(model)
+        pieces = loaded(SparkFiles.get(name))
         for batch in batches:
-            texts, ids = [t or "" for t in batch.column("__t").to_pylist()], batch.column("__id").to_pylist()
+            texts, ids = [t or "" for t in batch.column(t_).to_pylist()], batch.column(id_).to_pylist()
             begin = 0
             while begin < len(texts):
                 end, size = begin, 0
@@ -277,5 +305,5 @@ def sample_pieces(docs: DataFrame, model: str, seed: int = 11, id_col: str = "do
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, *new])
                 begin = end
 
-    rows = docs.select(*columns, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t"))
+    rows = docs.select(*columns, F.col(id_col).cast("long").alias(id_), F.col(text_col).cast("string").alias(t_))
     return rows.mapInArrow(run, schema)

@@ -7,10 +7,11 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import exact_id, with_nulls
+from sluice.llm.common import exact_id, ship_file, with_nulls
 
 #: Words whose counts one task remembers; the memory is emptied when it is full.
 REMEMBERED = 1 << 20
@@ -127,7 +128,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, known = automaton(vocabulary).count, {}
+        count, known = automaton(SparkFiles.get(name)).count, {}
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch["t"]:
@@ -149,5 +150,6 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 n_tokens.append(total)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "no_id": batch["no_id"], "n_words": n_words, "n_tokens": n_tokens})
 
+    name = ship_file(docs.sparkSession, vocabulary)
     rows = docs.select(*exact_id(id_col), F.col(text_col).cast("string").alias("t"))
     return with_nulls(rows.mapInPandas(run, "doc_id long, no_id boolean, n_words long, n_tokens long"))

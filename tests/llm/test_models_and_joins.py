@@ -237,6 +237,26 @@ def test_pieces_round_trip(spark):
     assert piece_sampling.sample_pieces(frame(spark, ["x"]).filter("false"), MODEL).count() == 0
 
 
+def test_long_lattices_go_block_by_block(monkeypatch):
+    """Runs without a space give the same pieces whole and in blocks."""
+    pieces = piece_sampling.loaded(MODEL)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["the", "ing", "on", "x", "é", "日本", "🙂", "tion", "aaaa", "▁"], k=400)) for _ in range(5)] + ["short one", "y" * 700]
+    keys = [rng.getrandbits(64) for _ in texts]
+    whole = piece_sampling.encode_batch(pieces, texts, keys)
+    monkeypatch.setattr(piece_sampling, "LATTICE", 61)
+    assert [x.tolist() for x in piece_sampling.encode_batch(pieces, texts, keys)] == [x.tolist() for x in whole]
+
+
+def test_pieces_of_clashing_columns_and_ids(spark):
+    docs = spark.createDataFrame([(None, "a b", 1, "x", 2), (BIG, "c d", 1, "x", 2), (BIG, "c d", 1, "x", 2)], "doc_id long, text string, id_to_seed int, text_to_cut string, Pieces int").coalesce(1)
+    got = piece_sampling.sample_pieces(docs, MODEL)
+    assert got.columns == ["doc_id", "id_to_seed", "text_to_cut", "pieces", "n_pieces", "decoded_sha256", "lossless"]
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == Counter([None, BIG, BIG]) and all(r.lossless and r.text_to_cut == "x" for r in rows)
+    assert len({tuple(r.pieces) for r in rows if r.doc_id == BIG}) == 1
+
+
 def test_pieces_follow_the_lattice():
     """Frequencies of sampled segmentations against the weights of all of them."""
     pieces = piece_sampling.loaded(MODEL)

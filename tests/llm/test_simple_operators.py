@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import exact_dedup, fingerprints, mixing, secret_scan, token_counts
 
@@ -19,7 +20,8 @@ def frame(spark, texts, ids=None, source="a"):
 
 
 LONG = "Lorem ipsum dolor " * 20000
-ODD = [None, "", "Hello World", "hello world", "HELLO WORLD", "É", "é", " ", LONG, LONG + "x", "Ｆullwidth  ﬁ\t\n", "fullwidth fi", "straße x"]
+ODD = [None, "", "Hello World", "hello world", "HELLO WORLD", "É", "é", " ", LONG, LONG + "x", "Ｆullwidth  ﬁ\t\n", "fullwidth fi", "straße\u2028x", "STRASSE X", "ΟΔΟΣ", "οδος", "οδοσ", "ǅ ŉ"]
+BIG = (1 << 53) + 1
 
 
 def fold(t):
@@ -57,11 +59,11 @@ def test_empty_tables(spark):
 
 
 def canon(t):
-    return re.sub(r"[\s\u0085  -     　]+", " ", unicodedata.normalize("NFKC", t or "").lower()).strip(" ")
+    return re.sub(r"[\s\u0085  -     　]+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())).strip(" ")
 
 
 def test_fingerprints(spark):
-    ids = [3, 700, 701, 1500, 2, 9000, 90001, 4, 5, 6, 7, 8, 400000]
+    ids = [3, 700, 701, 1500, -2, 9000, 90001, 4, 5, BIG, 7, BIG + 2, -(1 << 60), 8, 1 << 62, 9, 10, 11]
     got = {r.doc_id: r for r in fingerprints.edited_likeness(frame(spark, ODD, ids)).collect()}
     order = sorted(ids, reverse=True)
     text = dict(zip(ids, (t or "" for t in ODD)))
@@ -76,6 +78,34 @@ def test_fingerprints(spark):
             assert (got[i].fingerprint == got[j].fingerprint) == (canon(t) == canon(text[j])), (t, text[j])
 
 
+@pytest.mark.parametrize("rows, blocks", [(2, 2), (512, 512)])
+def test_neighbours_of_sparse_and_missing_ids(spark, monkeypatch, rows, blocks):
+    """Ids in descending order, those that repeat and rows without one by the hashes of their texts; after the last comes the first."""
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(fingerprints, "BLOCKS", blocks)
+    ids = [5, 7 << 50, -(9 << 55), 5, None, None, None, 0, 1 << 61, *range(40)]
+    texts = [f"t{i}" for i in range(len(ids))]
+    docs = frame(spark, texts, ids)
+    order = [r.text for r in docs.selectExpr("text", "doc_id", "xxhash64(text) h").orderBy(F.desc_nulls_last("doc_id"), "h").collect()]
+    got = {r.text: r.next_text for r in fingerprints.neighbours(docs).collect()}
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
+def test_rows_without_ids_and_clashing_columns(spark):
+    """A null id beside ids that no float can hold; repeated rows; columns that operators call theirs."""
+    ids, texts = [None, BIG, BIG, BIG + 2], ["token=abcdef one", "two", "two", "three four"]
+    docs = spark.createDataFrame([(i, t, "s", "a", 1, 2.0, "b", "c") for i, t in zip(ids, texts)], "doc_id long, text string, source string, Copy string, n int, mean double, of string, SHA string").coalesce(1)
+    assert Counter((r.doc_id, r.n_words) for r in token_counts.token_counts(docs, VOCAB).collect()) == Counter([(None, 2), (BIG, 1), (BIG, 1), (BIG + 2, 2)])
+    assert Counter((r.doc_id, r.n_assign) for r in secret_scan.scan(docs).collect()) == Counter([(None, 1), (BIG, 0), (BIG, 0), (BIG + 2, 0)])
+    assert Counter((r.doc_id, r.kept) for r in exact_dedup.exact_dedup(docs).collect()) == Counter([(None, True), (BIG, True), (BIG, False), (BIG + 2, True)])
+    assert Counter(r.doc_id for r in fingerprints.edited_likeness(docs).collect()) == Counter(ids)
+    kept = exact_dedup.survivors(docs)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter({None: 1, BIG: 1, BIG + 2: 1})
+    mixed = mixing.mix(docs, target_rows=400.0)
+    assert mixed.columns == ["doc_id", "text", "source", "n", "mean", "of", "SHA", "copy", "shuffle_key"]
+    assert {(r.doc_id, r.text) for r in mixed.collect()} == set(zip(ids, texts)) and mixed.filter("mean <> 2.0 or of <> 'b'").count() == 0
+
+
 def test_mixing_means_and_reruns(spark):
     docs = spark.createDataFrame([(i, f"t{i}", None, "hot" if i % 3 == 0 else f"s{i % 5}", 1, "x") for i in range(6000)], SCHEMA)
     got = mixing.mix(docs, {"hot": 3.0, "s1": 1.0}, target_rows=8000)
