@@ -61,6 +61,9 @@ def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Fr
     """Keys and measures. First, last and list follow the input's order, which a rank within each group carries."""
     per = list(f.per)
     named = [(n, v.col) for n, v in keys]
+    made = [*(n.split(".")[0] for n, _ in named if "." not in n), *(m["alias"] for m in measures)]
+    if len(set(made)) < len(made):
+        raise PlanFault(f"group: {next(n for n in made if made.count(n) > 1)} is made twice")
     df = f.df
     hold = {f"{HIDDEN}k{i}": c for i, (_, c) in enumerate(named)}
     df = df.withColumns(hold) if hold else df

@@ -98,7 +98,7 @@ def test_rows_in_order(engine, text, expected):
     ("plants | count", SyntaxFault), ("on plants | where", SyntaxFault), ("on plants | prune 3", PlanFault), ("on plants | where height == 1", PlanFault),
     ("on plants | where n == \"2\"", PlanFault), ("on plants | where n", PlanFault), ("on plants | select n * 2", PlanFault), ("on plants | group | sum n | end", PlanFault),
     ("on plants | window | row_number | end", PlanFault), ("on plants | lookup beds | where true | end", PlanFault), ("on plants | select n | count | limit 1", PlanFault),
-    ("on plants | derive a = grow(1)", PlanFault), ("on plants | derive a = abs(1, 2)", PlanFault), ("on plants | where n == $x", PlanFault), ("on plants | limit -1", PlanFault), ("on plants | where n > 1 ; limit 2 | count", SyntaxFault),
+    ("on plants | derive a = grow(1)", PlanFault), ("on plants | derive a = abs(1, 2)", PlanFault), ("on plants | where n == $x", PlanFault), ("on plants | limit -1", PlanFault), ("on plants | group | by n | sum n as n | end", PlanFault), ("on plants | where n > 1 ; limit 2 | count", SyntaxFault),
 ])
 def test_faults_before_any_job(engine, text, kind):
     with pytest.raises(kind):
@@ -259,6 +259,25 @@ def test_import(spark, tmp_path):
     assert set(roles) == {"code", "price", "n"}
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "cp1252", "latin-1"])
+def test_import_of_other_encodings(spark, tmp_path, encoding):
+    from sluice.sources import importer
+
+    odd = "\x81" if encoding == "latin-1" else ""
+    euro = "" if encoding == "latin-1" else "€"
+    (tmp_path / "a.csv").write_bytes(f"név{euro};n\nBéla{odd};1\nÜlo{euro};2\n".encode(encoding))
+    df = importer.read_csv(spark, f"file://{tmp_path}/a.csv")
+    assert [tuple(r) for r in df.collect()] == [(f"Béla{odd}", 1), (f"Ülo{euro}", 2)] and df.columns == [f"név{euro}", "n"]
+
+
+def test_import_by_a_mapping(spark):
+    from sluice.sources import importer
+
+    raw = spark.createDataFrame([("3/4/21", "1 234,5", "Oui"), ("2020-02-30", "x", "no"), ("2019.12.1", "-7", None), ("44927", "", "perhaps"), (None, None, "1")], "d string, n string, b string")
+    got = importer.mapped(raw, {"day": ("d", "date"), "us": ("d", "date", "mdy"), "month": ("d", "month"), "amount": ("n", "number"), "ok": ("b", "boolean"), "text": ("b", "string")}).collect()
+    assert [tuple(r) for r in got] == [("2021-04-03", "2021-03-04", "2021-04", 1234.5, True, "Oui"), (None, None, None, None, False, "no"), ("2019-12-01", "2019-12-01", "2019-12", -7.0, None, None), ("2023-01-01", "2023-01-01", "2023-01", None, None, "perhaps"), (None, None, None, None, True, "1")]
+
+
 def test_search(spark):
     from sluice.sources import search
 
