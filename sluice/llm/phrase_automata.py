@@ -150,5 +150,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 out.append((i, null, n, n - len(kept), hashlib.sha256(body).hexdigest(), body.decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(out, columns=["doc_id", "no_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "no_id", "t", "runs")
+    joined = rows.join(repeats.bounded(cover, "runs"), "d", "left").select("doc_id", "no_id", "t", "runs")
     return with_nulls(joined.mapInPandas(run, "doc_id long, no_id boolean, n_words long, n_removed long, kept_sha256 string, kept_text string"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import BROADCAST_BYTES, exact_id, written
+from sluice.llm.common import BROADCAST_BYTES, discard, exact_id, written
 
 _C = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << 28) - 1)
@@ -90,13 +90,19 @@ def repeated_anchors(rows: DataFrame, units_of: Callable[[str], np.ndarray], win
     place = F.xxhash64("d", "p")
     again = found.groupBy("a").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most").select("a")
     again = written(again, "again")  # a join of two exchanges is one that Spark can split where a key is hot
-    return written(found.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set(F.struct("p", "b", "e"))).alias("at")), "repeated")
+    repeated = written(found.join(again, "a").groupBy("d").agg(F.sort_array(F.collect_set(F.struct("p", "b", "e"))).alias("at")), "repeated")
+    discard(found, again)
+    return repeated
 
 
-def bounded(side: DataFrame, array: str, item_bytes: int) -> DataFrame:
-    """A written table with one array column, marked for broadcast only if all its items fit the limit; else it is joined by a shuffle."""
-    size = side.agg((F.sum(F.size(array)) * item_bytes + F.count(F.lit(1)) * 64).alias("n")).first()["n"] or 0
-    return F.broadcast(side) if size <= 2 * BROADCAST_BYTES else side
+#: Largest table of covers, in bytes, that is sent to every executor; beyond it the texts are shuffled to it.
+COVER_BYTES = 6 * BROADCAST_BYTES
+
+
+def bounded(side: DataFrame, array: str) -> DataFrame:
+    """A written table with one array of runs (32 bytes each) a row, marked for broadcast only if it fits the limit; else it is joined by a shuffle."""
+    size = side.agg((F.sum(F.size(array)) * 32 + F.count(F.lit(1)) * 96).alias("n")).first()["n"] or 0
+    return F.broadcast(side) if size <= COVER_BYTES else side
 
 
 def contexts(rows: DataFrame, repeated: DataFrame, cut: Callable[[str, np.ndarray], Iterator[tuple]], units_of, window: int, gram: int) -> DataFrame:

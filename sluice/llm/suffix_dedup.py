@@ -405,5 +405,5 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 out.append((i, null, n, n - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
             yield pd.DataFrame(out, columns=["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(repeats.bounded(cover, "runs", 8), "d", "left").select("doc_id", "no_id", "t", "runs")
+    joined = rows.join(repeats.bounded(cover, "runs"), "d", "left").select("doc_id", "no_id", "t", "runs")
     return with_nulls(joined.mapInPandas(run, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
