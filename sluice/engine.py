@@ -49,7 +49,7 @@ class Engine:
         self.catalog.views = self.views
         self.planner = Planner(self.catalog, seed)
         self.observed: list[dict] = []
-        self.catalog.system = {"_query_memory": self._observed, "_memory": self._memory, "_index_observations": self._shapes, "_memory_events": self._events, "_views": self.views.table}
+        self.catalog.system = {"_query_memory": self._observed, "_memory": self._memory, "_index_observations": self._shapes, "_memory_events": self._events, "_views": self.views.table, "_cache": self._kept}
         self._cache: dict = {}
 
     @staticmethod
@@ -132,6 +132,9 @@ class Engine:
     def _observed(self) -> DataFrame:
         return self.spark.createDataFrame([(o["query"], o["seconds"]) for o in self.observed], "query string, seconds double")
 
+    def _kept(self) -> DataFrame:
+        return self.spark.createDataFrame([(k[0], k[1], str(k[2])) for k in self.views.kept], "view string, version long, state string")
+
     def _memory(self) -> DataFrame:
         r = self.spark.sparkContext._jvm.Runtime.getRuntime()
         used = r.totalMemory() - r.freeMemory()

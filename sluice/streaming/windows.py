@@ -22,6 +22,9 @@ def sessions(df: DataFrame, time: str, gap: str, key: str, late: str | None = No
     return grouped.select(F.col("session_window.start").alias("start"), key, "n")
 
 
-def subscribe(stream: DataFrame, checkpoint: str, handler, id_col: str = "event_id"):
-    """Calls ``handler(frame, batch number)`` for each batch of a stream, without events seen within the batch twice."""
+def subscribe(stream: DataFrame, checkpoint: str, handler, id_col: str = "event_id", time: str | None = None, late: str = "10 minutes"):
+    """Calls ``handler(frame, batch number)`` for each batch of a stream, without events seen twice: within the batch, and with an
+    event time also in earlier batches, as long as ``late``."""
+    if time is not None:
+        stream = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([id_col])
     return stream.writeStream.foreachBatch(lambda df, n: handler(df.dropDuplicates([id_col]), n)).option("checkpointLocation", checkpoint)

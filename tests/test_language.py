@@ -119,6 +119,7 @@ def test_views(engine):
     engine.query('define view sown | exec | on plants | where start == "seed" | end | end')
     engine.query('define view sown | description "many" | materialized | exec | on plants | where start == "seed" and n > 30 | end | end')
     assert rows(engine.query("on view sown | count")) == [{"count": 2}]
+    assert rows(engine.query("on _cache | select view, version")) == [{"view": "sown", "version": 2}]
     assert rows(engine.query("on view sown version 1 | count")) == [{"count": 4}]
     engine.query("define view ring | exec | on view ring | end | end")
     with pytest.raises(QueryError):
@@ -290,6 +291,18 @@ def test_search(spark):
     assert search.passages(long, "id", "text").count() == 3
 
 
+def test_subscribers_see_an_event_once(spark, tmp_path):
+    from sluice.streaming import windows
+
+    seen = []
+    for i, ids in enumerate(([1, 2, 2], [2, 3])):
+        spark.createDataFrame([(x, f"2024-01-01 00:0{i}:00") for x in ids], "event_id long, at string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("event_id long, at string").parquet(f"{tmp_path}/in").withColumn("at", F.col("at").cast("timestamp"))
+        handler = lambda df, n: seen.extend(r.event_id for r in df.collect())
+        windows.subscribe(stream, f"{tmp_path}/state", handler, time="at").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == [1, 2, 3]
+
+
 def test_event_time_windows_on_a_stream(spark, tmp_path):
     """A stream gives each closed window once, without rows later than the watermark; so do sessions on a batch."""
     from sluice.streaming import windows
