@@ -56,6 +56,16 @@ FROM t WINDOW w AS (PARTITION BY t)
 """
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN 2 * i + 398 <= length(h) THEN md5(substr(h, 2 * i - 1, 400)) END AS w FROM d, unnest(range(1, length(h) // 2 + 1)) AS r(i)),
+r AS (SELECT doc_id, i, byte, CASE WHEN w IS NULL THEN 0 ELSE (count(*) OVER (PARTITION BY w) > 1)::INT END AS again FROM b),
+c AS (SELECT doc_id, i, byte, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM r),
+s AS (SELECT doc_id, i, byte, gone, gone > coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS begins FROM c),
+g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM s GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 b AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS w FROM d, unnest(range(1, len(ws) + 1)) AS r(i)),
@@ -81,4 +91,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_phrase_automata": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op2_phrase_automata": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_jaccard_join": OP8_SQL, "op9_mixing": mixing.ORACLE_SQL}
