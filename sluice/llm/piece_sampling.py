@@ -25,7 +25,7 @@ BYTE_WEIGHT = -14.0
 LATTICE = 1 << 15
 
 #: Bytes of text that are sampled at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
