@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.errors import PlanFault
@@ -17,9 +18,15 @@ from sluice.plans.parser import last
 #: Measures whose result depends on the order of rows.
 ORDERED = ("first", "last", "list")
 
+#: Measures that need the order of a group's values.
+QUANTILES = ("median", "percentile")
+
 #: Columns that a pivot may make: their labels come to the driver.
 LABELS = 10_000
 
+#: Rank error of a quantile's first estimate is one in this many rows at most.
+ACCURACY = 10_000
+
 
 def _key(item, f: Frame) -> tuple[str, Val]:
     e = item["expr"]
@@ -72,8 +79,10 @@ def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Fr
     if any(m["fn"] in ORDERED for m in measures):
         rank = f"{HIDDEN}ord"
         df = _ranked(f.of(df), rank, [*map(quoted, per), *hold])
-    columns = [measure(m, scope, rank).alias(m["alias"]) for m in measures]
-    grouped = df.groupBy(*map(quoted, per), *hold).agg(*columns)
+    by = [*per, *hold]
+    quantiles = [(m["alias"], _number(m, scope), 0.5 if m["fn"] == "median" else float(m["fraction"])) for m in measures if m["fn"] in QUANTILES]
+    columns = [measure(m, scope, rank).alias(m["alias"]) for m in measures if m["fn"] not in QUANTILES]
+    grouped = _with_quantiles(df, by, columns, quantiles) if quantiles else df.groupBy(*map(quoted, by)).agg(*columns)
     out = [F.col(quoted(p)) for p in per]
     nested: dict[str, list] = {}
     for i, (n, _) in enumerate(named):
@@ -87,6 +96,64 @@ def aggregate(f: Frame, keys: list[tuple[str, Val]], measures: list[dict]) -> Fr
     return f.of(grouped.select(*out), order=(), keys=tuple(n for n, _ in named if "." not in n), sorted=False, scattered=False)
 
 
+def _number(m: dict, scope):
+    """A measure's value as a double; null where its condition does not hold."""
+    v = compiled(m["expr"], scope)
+    col = v.col if v.kind in ("number", "null") else F.lit(None)
+    return (col if m["where"] is None else F.when(compiled(m["where"], scope).col, col)).cast("double")
+
+
+def _with_quantiles(df: DataFrame, by: list[str], columns: list, quantiles: list) -> DataFrame:
+    """Other measures and exact quantiles (name, value, fraction), with no group's values in one task.
+
+    The first pass has a sketch of each group, which bounds the values that a quantile can lie at. The second counts: values
+    below the bounds and beyond them are one row each a group and task before they move, only those between are told apart, so
+    that a running count over them finds the two ranks. The row next to the bounds is kept on either side; the bounds are eight
+    times as far apart as the sketch's error, and a rank outside them is an error, never another value.
+    """
+    one = f"{HIDDEN}one"
+    margin = 8 / ACCURACY
+    df = df.withColumns({one: F.lit(1), **{f"{HIDDEN}v{i}": v for i, (_, v, _) in enumerate(quantiles)}})
+    sketches = []
+    for i, (_, _, p) in enumerate(quantiles):
+        v = F.col(f"{HIDDEN}v{i}")
+        ends = F.percentile_approx(v, [max(0.0, p - margin), min(1.0, p + margin)], ACCURACY)
+        sketches += [ends.alias(f"{HIDDEN}e{i}"), F.count(v).alias(f"{HIDDEN}n{i}")]
+    first = df.groupBy(*map(quoted, by)).agg(*columns, *sketches).withColumn(one, F.lit(1))
+    keys = [one, *by]
+    other = [f"{HIDDEN}b{j}" for j in range(len(keys))]
+    same = reduce(lambda x, y: x & y, [F.col(quoted(k)).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)])
+    renamed = [F.col(quoted(k)).alias(o) for k, o in zip(keys, other, strict=True)]
+    found = range(len(quantiles))
+    bounds = first.select(*renamed, *[f"{HIDDEN}{x}{i}" for x in "en" for i in found])
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("m"), F.lit(p).alias("p"), F.col(f"{HIDDEN}v{i}").alias("v"), F.col(f"{HIDDEN}n{i}").alias("n"),
+                 F.col(f"{HIDDEN}e{i}")[0].alias("lo"), F.col(f"{HIDDEN}e{i}")[1].alias("hi"))
+        for i, (_, _, p) in enumerate(quantiles)
+    ])
+    values = df.select(*map(quoted, keys), *[f"{HIDDEN}v{i}" for i in found]).join(bounds, same).select(*other, F.explode(asked).alias("q"))
+    side = F.when(F.col("q.v") < F.col("q.lo"), -1).when(F.col("q.v") > F.col("q.hi"), 1).otherwise(0)
+    values = values.filter("q.v is not null").select(*other, "q.m", (F.col("q.p") * (F.col("q.n") - 1)).alias("at"), side.alias("side"), "q.v")
+    counted = values.groupBy(*other, "m", "at", "side", F.when(F.col("side") == 0, F.col("v")).alias("x"))
+    counted = counted.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+    running = Window.partitionBy(*other, "m").orderBy("side", "x").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("upto", F.sum("c").over(running))
+
+    def ranked(rank):
+        """The value at a rank, counted from 0, in the row that holds it."""
+        far = ((F.col("side") < 0) & (rank < F.col("upto") - 1)) | ((F.col("side") > 0) & (rank > F.col("upto") - F.col("c")))
+        value = F.when(far, F.raise_error(F.lit("quantile: outside its bounds"))).when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
+        return F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), value)
+
+    low, high = F.floor("at"), F.ceil("at")
+    counted = counted.select(*other, "m", "at", ranked(low).alias("low"), ranked(high).alias("high"))
+    picked = counted.groupBy(*other, "m", "at").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    value = F.when(low == high, F.col("low")).otherwise((high - F.col("at")) * F.col("low") + (F.col("at") - low) * F.col("high"))
+    picked = picked.groupBy(*other).agg(*[F.max(F.when(F.col("m") == i, value)).alias(f"{HIDDEN}q{i}") for i in found])
+    named = [F.col(f"{HIDDEN}q{i}").alias(name) for i, (name, _, _) in enumerate(quantiles)]
+    return first.join(picked, same, "left").select(*[F.col(quoted(c)) for c in first.columns], *named)
+
+
 def measure(m: dict, scope, rank: str | None):
     """One aggregate column."""
     fn = m["fn"]

@@ -1,8 +1,10 @@
 """The language over three small collections of a garden."""
 
 import json
+import random
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +322,26 @@ def test_event_time_windows_on_a_stream(spark, tmp_path):
     assert sorted((r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 4.0), (2, 3.0)]
     batch = spark.read.parquet(f"{tmp_path}/in")
     assert sorted((r.user, r.n) for r in windows.sessions(batch, "at", "20 minutes", "user").collect()) == [("late", 1), ("u", 1), ("u", 1), ("u", 1), ("v", 1)]
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_beside_other_measures(spark, monkeypatch, accuracy):
+    """Exact where a sketch is coarse, values tie, keys and values are null; without keys, and of nothing."""
+    from sluice.operators import grouping
+
+    monkeypatch.setattr(grouping, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    data = [(rng.choice([None, "a", "a", "b"]), rng.choice([None, 7.0, rng.random() * 20])) for _ in range(4000)] + [("lone", 1.5), ("none", None)]
+    e = Engine(spark, tables={"t": spark.createDataFrame(data, "k string, v double").repartition(3), "none": spark.createDataFrame([], "k string, v double")})
+    for p in (0, 0.003, 0.5, 0.9, 1):
+        found = e.query(f"on t | group | by k | percentile v {p} as q | count as n | median v where v != 7 as m | end").collect()
+        assert len(found) == 5
+        for r in found:
+            own = [v for k, v in data if k == r.k]
+            usable = [v for v in own if v is not None]
+            assert (r.q, r.n) == (pytest.approx(np.quantile(usable, p)) if usable else None, len(own))
+            rest = [v for v in usable if v != 7]
+            assert r.m == (pytest.approx(np.median(rest)) if rest else None)
+    assert e.query("on none | group | by k | median v | end").count() == 0
+    lookup = 'on t as o | where o.k == "lone" | lookup t as i | where i.k != o.k | group | by k | median v as m | end | into ms | end | select len(ms) as n'
+    assert e.query(lookup).first().n >= 2
