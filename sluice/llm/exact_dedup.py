@@ -32,7 +32,9 @@ def merge_runs(leaves: DataFrame, better=F.max) -> DataFrame:
     """One row a distinct text: the id that stays and the number of rows.
 
     Each round halves the run number twice and merges the runs that meet; every level keeps one row a text and run. Length and
-    second hash are part of what is merged on, so texts under one digest that differ in either never share a row.
+    second hash are part of what is merged on, so texts under one digest that differ in either never share a row. The id that stays
+    is a struct, which Spark can only aggregate over sorted rows: a task sorts its run by digest, spilling sorted pieces that it
+    merges, and drops equal neighbours before the run moves; the receiver brings its runs into one order and does the same.
     """
     key = ["digest", "n_bytes", "check"]
     level, runs = leaves, RUNS
@@ -60,8 +62,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", normalise=lower_ascii, i
     better, order = (F.max, F.col("doc_id").desc_nulls_last()) if keep == "largest" else (F.min, F.col("doc_id").asc_nulls_last())
     key = ["digest", "n_bytes", "check"]
     rows = written(digests(docs, normalise, id_col, text_col), "digests")
-    leaves = rows.groupBy("run", *key).agg(better("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    root = merge_runs(leaves, better)
+    known = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    leaves = rows.groupBy("run", *key).agg(better(F.struct(known.alias("known"), "doc_id")).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    root = merge_runs(leaves, better).withColumn("keep_id", F.col("keep_id.doc_id"))
     answers = leaves.select("run", *key).join(root, key)
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("run", *key).orderBy(order)))
     return ranked.join(answers, ["run", *key]).select(

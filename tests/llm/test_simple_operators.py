@@ -204,3 +204,12 @@ def test_trigram_queries_never_miss():
                     for i, n in enumerate(names):
                         slots[int.from_bytes(n, "big")] = i + 1
                     assert secret_scan.Segment([t.encode()], slots, names).search(query)[0]
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_merges_sorted_rows(spark, keep):
+    """Either end of the ids stays, a null id only where there is no other; each round sorts and merges."""
+    rows = exact_dedup.exact_dedup(frame(spark, ["a"] * 500 + ["b", "b", "c"], [*range(BIG, BIG + 500), None, 4, None]), keep=keep)
+    best = BIG + 499 if keep == "largest" else BIG
+    assert Counter((r.keep_id, r.group_size, r.kept) for r in rows.collect()) == Counter({(best, 500, True): 1, (best, 500, False): 499, (4, 2, True): 1, (4, 2, False): 1, (None, 1, True): 1})
+    assert rows._jdf.queryExecution().toString().count("SortAggregate") >= 8
