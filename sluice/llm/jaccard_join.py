@@ -16,8 +16,8 @@ from sluice.llm.components import components
 #: Words of a shingle and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
 
-#: The token order is by counters that tokens share, from one text of so many. Whatever they hold, the join is exact.
-SLOTS, SAMPLED = 1 << 18, 8
+#: The token order is by so many counters, which tokens share, of all texts. Whatever they hold, the join is exact.
+SLOTS = 1 << 18
 
 #: Sets of a token, as the counters have it, beyond which its row of the matrix is built in SALTS parts.
 RUN_SETS, SALTS = 1 << 18, 256
@@ -69,7 +69,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndar
 
 
 def token_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many sampled texts fall on each counter; copies within a task count once."""
+    """How many tokens of all texts fall on each counter; copies within a task count once."""
     slots = SLOTS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,12 +78,11 @@ def token_counts(docs: DataFrame, words: int) -> np.ndarray:
             for th, text in zip(batch["th"], batch["t"], strict=True):
                 if th not in seen:
                     seen.add(th)
-                    counts += np.bincount((shingle_set(text, words) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                    np.add.at(counts, (shingle_set(text, words) & np.uint64(slots - 1)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"slot": at.astype(np.int32), "n": counts[at]})
 
-    sample = docs.select("th", "t").filter(F.pmod("th", F.lit(SAMPLED)) == 0)
-    found = sample.mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("th", "t").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(slots, np.int64)
     counts[found["slot"]] = found["n"]
     return counts
@@ -92,7 +91,7 @@ def token_counts(docs: DataFrame, words: int) -> np.ndarray:
 def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, no_id, th, d (hash of the set), n, and once a task for each set its prefix: toks, and hot, tokens of very many sets."""
     sent = docs.sparkSession.sparkContext.broadcast(token_counts(docs, words))
-    most = RUN_SETS // SAMPLED
+    most = RUN_SETS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen = sent.value, set()

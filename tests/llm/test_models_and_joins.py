@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sluice.llm import jaccard_join, piece_sampling, toxicity
@@ -92,6 +93,23 @@ def test_jaccard_long_text(spark):
     assert got == brute_components(texts, range(4))
 
 
+def test_jaccard_counts_every_text(spark, monkeypatch):
+    """All texts are on the counters, copies within a task once; a token is hot beyond RUN_SETS sets, counted and not estimated."""
+    monkeypatch.setattr(jaccard_join, "RUN_SETS", 10)
+    texts = [f"u{i} many" + " few" * (i < 10) for i in range(11)] + [None, ""]
+    want = np.zeros(jaccard_join.SLOTS, np.int64)
+    for t in texts:
+        np.add.at(want, (jaccard_join.shingle_set(t, 1) % jaccard_join.SLOTS).astype(np.int64), 1)
+    spread = jaccard_join._keyed(frame(spark, texts), "doc_id", "text").repartition(3)
+    copied = jaccard_join._keyed(frame(spark, texts + texts), "doc_id", "text").coalesce(1)
+    for docs in (spread, copied):
+        assert (jaccard_join.token_counts(docs, 1) == want).all()
+        found = [r for r in jaccard_join.described(docs, 1, 1).collect() if r.hot is not None]
+        many, few = (int(jaccard_join.shingle_set(w, 1).view(np.int64)[0]) for w in ("many", "few"))
+        assert len(found) == 11 and all(r.hot == [many] for r in found)
+        assert sum(few in r.toks for r in found) == 10
+
+
 BIG = (1 << 53) + 1
 
 
