@@ -27,6 +27,9 @@ LABELS = 10_000
 #: Rank error of a quantile's first estimate is one in this many rows at most.
 ACCURACY = 10_000
 
+#: Values beyond which a group is large: only the bounds of large groups are broadcast, at most one for so many rows.
+LARGE = 100_000
+
 
 def _key(item, f: Frame) -> tuple[str, Val]:
     e = item["expr"]
@@ -109,7 +112,8 @@ def _with_quantiles(df: DataFrame, by: list[str], columns: list, quantiles: list
     The first pass has a sketch of each group, which bounds the values that a quantile can lie at. The second counts: values
     below the bounds and beyond them are one row each a group and task before they move, only those between are told apart, so
     that a running count over them finds the two ranks. The row next to the bounds is kept on either side; the bounds are eight
-    times as far apart as the sketch's error, and a rank outside them is an error, never another value.
+    times as far apart as the sketch's error, and a rank outside them is an error, never another value. Bounds go to the rows,
+    since a join by the group's key would sort all of its rows in one task. Small groups have none: their values are few.
     """
     one = f"{HIDDEN}one"
     margin = 8 / ACCURACY
@@ -125,19 +129,21 @@ def _with_quantiles(df: DataFrame, by: list[str], columns: list, quantiles: list
     same = reduce(lambda x, y: x & y, [F.col(quoted(k)).eqNullSafe(F.col(o)) for k, o in zip(keys, other, strict=True)])
     renamed = [F.col(quoted(k)).alias(o) for k, o in zip(keys, other, strict=True)]
     found = range(len(quantiles))
-    bounds = first.select(*renamed, *[f"{HIDDEN}{x}{i}" for x in "en" for i in found])
+    large = reduce(lambda x, y: x | y, [F.col(f"{HIDDEN}n{i}") > LARGE for i in found])
+    bounds = F.broadcast(first.filter(large).select(*renamed, *[f"{HIDDEN}e{i}" for i in found]))
     asked = F.array(*[
-        F.struct(F.lit(i).alias("m"), F.lit(p).alias("p"), F.col(f"{HIDDEN}v{i}").alias("v"), F.col(f"{HIDDEN}n{i}").alias("n"),
-                 F.col(f"{HIDDEN}e{i}")[0].alias("lo"), F.col(f"{HIDDEN}e{i}")[1].alias("hi"))
-        for i, (_, _, p) in enumerate(quantiles)
+        F.struct(F.lit(i).alias("m"), F.col(f"{HIDDEN}v{i}").alias("v"), F.col(f"{HIDDEN}e{i}")[0].alias("lo"), F.col(f"{HIDDEN}e{i}")[1].alias("hi"))
+        for i in found
     ])
-    values = df.select(*map(quoted, keys), *[f"{HIDDEN}v{i}" for i in found]).join(bounds, same).select(*other, F.explode(asked).alias("q"))
+    values = df.select(*map(quoted, keys), *[f"{HIDDEN}v{i}" for i in found]).join(bounds, same, "left").select(*renamed, F.explode(asked).alias("q"))
     side = F.when(F.col("q.v") < F.col("q.lo"), -1).when(F.col("q.v") > F.col("q.hi"), 1).otherwise(0)
-    values = values.filter("q.v is not null").select(*other, "q.m", (F.col("q.p") * (F.col("q.n") - 1)).alias("at"), side.alias("side"), "q.v")
-    counted = values.groupBy(*other, "m", "at", "side", F.when(F.col("side") == 0, F.col("v")).alias("x"))
+    values = values.filter("q.v is not null").select(*other, "q.m", side.alias("side"), "q.v")
+    counted = values.groupBy(*other, "m", "side", F.when(F.col("side") == 0, F.col("v")).alias("x"))
     counted = counted.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
-    running = Window.partitionBy(*other, "m").orderBy("side", "x").rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("upto", F.sum("c").over(running))
+    ordered = Window.partitionBy(*other, "m").orderBy("side", "x")
+    running, whole = (ordered.rowsBetween(Window.unboundedPreceding, end) for end in (0, Window.unboundedFollowing))
+    at = F.array(*[F.lit(p) for _, _, p in quantiles])[F.col("m")] * (F.sum("c").over(whole) - 1)
+    counted = counted.withColumns({"upto": F.sum("c").over(running), "at": at})
 
     def ranked(rank):
         """The value at a rank, counted from 0, in the row that holds it."""

@@ -345,3 +345,49 @@ def test_quantiles_beside_other_measures(spark, monkeypatch, accuracy):
     assert e.query("on none | group | by k | median v | end").count() == 0
     lookup = 'on t as o | where o.k == "lone" | lookup t as i | where i.k != o.k | group | by k | median v as m | end | into ms | end | select len(ms) as n'
     assert e.query(lookup).first().n >= 2
+
+
+def _moved_unaggregated(node, above=False):
+    """Scans whose rows meet an exchange before any aggregate."""
+    name, children = node.nodeName(), node.children()
+    above = "Exchange" in name or (above and "Aggregate" not in name)
+    if children.isEmpty():
+        return [name] if above else []
+    return [x for i in range(children.size()) for x in _moved_unaggregated(children.apply(i), above)]
+
+
+@pytest.mark.parametrize("keys", ["by k", "by k as a, round(v / 9) as b", "by 1 as all"])
+def test_quantile_rows_are_counted_before_they_move(spark, keys):
+    """No table is too large for it: a group's rows are not sent to one task and sorted there, nor all rows broadcast."""
+    e = Engine(spark, tables={"t": spark.range(1000).selectExpr("nullif(id % 3, 2) as k", "cast(id as double) as v")})
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for most in ("-1", "1g"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            out = e.query(f"on t | group | {keys} | median v | percentile v 0.9 as p | sum v as s | end")
+            assert _moved_unaggregated(out._jdf.queryExecution().executedPlan()) == []
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("large", [0, 1, 500, 10_000])
+def test_quantiles_of_large_and_small_groups(spark, monkeypatch, large):
+    """The same values with bounds, without, and with both kinds of groups."""
+    from sluice.operators import grouping
+
+    monkeypatch.setattr(grouping, "ACCURACY", 50)
+    monkeypatch.setattr(grouping, "LARGE", large)
+    rng = random.Random(large)
+    data = [(rng.choice([None, "a", "a", "b"]), rng.choice([None, 7.0, rng.random() * 20])) for _ in range(3000)] + [("lone", 1.5), ("none", None)]
+    e = Engine(spark, tables={"t": spark.createDataFrame(data, "k string, v double").repartition(3)})
+    for p in (0, 0.01, 0.5, 0.99, 1):
+        found = {r.k: r for r in e.query(f"on t | group | by k | percentile v {p} as q | median v where v < 3 as m | end").collect()}
+        assert set(found) == {k for k, _ in data}
+        for k, r in found.items():
+            own = [v for x, v in data if x == k and v is not None]
+            low = [v for v in own if v < 3]
+            assert r.q == (pytest.approx(np.quantile(own, p)) if own else None)
+            assert r.m == (pytest.approx(np.median(low)) if low else None)
+        assert e.query(f"on t | group | by 1 as all | percentile v {p} as q | end").first().q == pytest.approx(np.quantile([v for _, v in data if v is not None], p))
